@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import quality
+from geoloom.llm import quality, secrets
 from geoloom.llm.common import read
 
 
@@ -10,5 +10,9 @@ def op1_quality_rules(spark, sf_dir):
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES = {"op1_quality_rules": quality.ORACLE}
+def op3_secret_scans(spark, sf_dir):
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_secret_scans": op3_secret_scans}
+ORACLES = {"op1_quality_rules": quality.ORACLE, "op3_secret_scans": secrets.oracle_sql()}
