@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from geoloom.llm import quality, secrets
-from geoloom.llm.common import read
+from pyspark.sql import functions as F
+
+from geoloom.llm import langid, quality, secrets
+from geoloom.llm.common import held_out, read
 
 
 def op1_quality_rules(spark, sf_dir):
@@ -14,5 +16,16 @@ def op3_secret_scans(spark, sf_dir):
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_secret_scans": op3_secret_scans}
+def op6_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    d = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return langid.identify(d, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_secret_scans": op3_secret_scans,
+    "op6_language_id": op6_language_id,
+}
 ORACLES = {"op1_quality_rules": quality.ORACLE, "op3_secret_scans": secrets.oracle_sql()}
