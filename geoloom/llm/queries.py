@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from geoloom.llm import langid, quality, secrets
+from geoloom.llm import langid, quality, secrets, sentencepieces
 from geoloom.llm.common import held_out, read
 
 
@@ -23,9 +24,15 @@ def op6_language_id(spark, sf_dir):
     return langid.identify(d, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_sentencepiece(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepieces.digest(sentencepieces.encode(d, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_secret_scans": op3_secret_scans,
     "op6_language_id": op6_language_id,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLES = {"op1_quality_rules": quality.ORACLE, "op3_secret_scans": secrets.oracle_sql()}
