@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geoloom.llm import langid, quality, secrets, sentencepieces
+from geoloom.llm import langid, quality, secrets, sentencepieces, tokenfiles
 from geoloom.llm.common import held_out, read
 
 
@@ -29,10 +29,15 @@ def op9_sentencepiece(spark, sf_dir):
     return sentencepieces.digest(sentencepieces.encode(d, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op10_token_files(spark, sf_dir):
+    return tokenfiles.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_secret_scans": op3_secret_scans,
     "op6_language_id": op6_language_id,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_token_files": op10_token_files,
 }
 ORACLES = {"op1_quality_rules": quality.ORACLE, "op3_secret_scans": secrets.oracle_sql()}
