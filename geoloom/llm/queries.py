@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geoloom.llm import langid, quality, secrets, sentencepieces, tokenfiles
+from geoloom.llm import jaccard, langid, quality, secrets, sentencepieces, tokenfiles
 from geoloom.llm.common import held_out, read
 
 
@@ -17,6 +17,10 @@ def op3_secret_scans(spark, sf_dir):
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op5_ngram_jaccard(spark, sf_dir):
+    return jaccard.similar_components(read(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op6_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     model = langid.fit(docs)
@@ -36,6 +40,7 @@ def op10_token_files(spark, sf_dir):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_secret_scans": op3_secret_scans,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_files": op10_token_files,
