@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geoloom.llm import jaccard, langid, quality, secrets, sentencepieces, tokenfiles
+from geoloom.llm import jaccard, langid, quality, secrets, sentencepieces, tokenfiles, toxicity
 from geoloom.llm.common import held_out, read
 
 
@@ -13,6 +13,13 @@ def op1_quality_rules(spark, sf_dir):
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, read(spark, sf_dir, "labels")).cache())
+    d = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return toxicity.score(d, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_secret_scans(spark, sf_dir):
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
@@ -39,6 +46,7 @@ def op10_token_files(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
     "op3_secret_scans": op3_secret_scans,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
