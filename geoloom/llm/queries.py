@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geoloom.llm import jaccard, langid, quality, secrets, sentencepieces, tokenfiles, toxicity
+from geoloom.llm import decontaminate, jaccard, langid, quality, secrets, sentencepieces, tokenfiles, toxicity
 from geoloom.llm.common import held_out, read
 
 
@@ -35,6 +35,10 @@ def op6_language_id(spark, sf_dir):
     return langid.identify(d, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_sentencepiece(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepieces.digest(sentencepieces.encode(d, public_tokenizers.path("piece_bpe_32k.model")))
@@ -50,6 +54,7 @@ QUERIES = {
     "op3_secret_scans": op3_secret_scans,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
+    "op8_decontamination": op8_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_files": op10_token_files,
 }
