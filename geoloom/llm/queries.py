@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontaminate, jaccard, langid, quality, secrets, sentencepieces, tokenfiles, toxicity
+from geoloom.llm import decontaminate, jaccard, langid, quality, repeats, secrets, sentencepieces, tokenfiles, toxicity
 from geoloom.llm.common import held_out, read
 
 
@@ -24,6 +24,11 @@ def op3_secret_scans(spark, sf_dir):
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    d = repeats.remove(read(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_ngram_jaccard(spark, sf_dir):
     return jaccard.similar_components(read(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
     "op3_secret_scans": op3_secret_scans,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
     "op8_decontamination": op8_decontamination,
