@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontaminate, jaccard, langid, quality, repeats, secrets, sentencepieces, tokenfiles, toxicity
+from geoloom.llm import decontaminate, jaccard, langid, licenses, quality, repeats, secrets, sentencepieces, tokenfiles, toxicity
 from geoloom.llm.common import held_out, read
 
 
@@ -40,6 +40,10 @@ def op6_language_id(spark, sf_dir):
     return langid.identify(d, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_license_scans(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark, sf_dir):
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -60,8 +64,9 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
+    "op7_license_scans": op7_license_scans,
     "op8_decontamination": op8_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_files": op10_token_files,
 }
-ORACLES = {"op1_quality_rules": quality.ORACLE, "op3_secret_scans": secrets.oracle_sql()}
+ORACLES = {"op1_quality_rules": quality.ORACLE, "op3_secret_scans": secrets.oracle_sql(), "op7_license_scans": licenses.oracle_sql()}
