@@ -120,9 +120,9 @@ def candidates(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str =
     return hit.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("mask"))
 
 
-def scan(docs: DataFrame, rules=RULES, n_base: int = len(BASE_RULES), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text, spans array<struct<s, k, e>> per row, sorted by start, then rule."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def scan(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, spans array<struct<s, k, e>> per row, sorted by start, then rule; and the columns ``keep``."""
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
     c = candidates(docs, rules, doc_id, text).select(F.col("doc_id").alias("cand_id"), "mask")
     j = d.join(c, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left").drop("cand_id")
     found = []
@@ -134,7 +134,7 @@ def scan(docs: DataFrame, rules=RULES, n_base: int = len(BASE_RULES), doc_id: st
             gate = F.coalesce(F.col("mask").bitwiseAND(1 << r), F.lit(0)) != 0
             gate = gate & F.col("text").rlike(rule.regex)
         found.append(F.when(gate, _spans(F.col("text"), rule, r)).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>")))
-    return j.select("doc_id", "text", F.sort_array(F.concat(*found)).alias("spans"))
+    return j.select("doc_id", "text", *keep, F.sort_array(F.concat(*found)).alias("spans"))
 
 
 def digest(scanned: DataFrame, rules=RULES, n_base: int = len(BASE_RULES)) -> DataFrame:
@@ -151,13 +151,14 @@ def digest(scanned: DataFrame, rules=RULES, n_base: int = len(BASE_RULES)) -> Da
 
 
 def redact(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """doc_id, text with every (merged) span replaced by ``mark``; texts without spans are unchanged."""
+    """``scanned`` without spans; in its text every span, overlaps joined, is replaced by ``mark``."""
     gap = F.expr("""aggregate(spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
         (a, x) -> CASE WHEN x.e <= a.at THEN a
                        WHEN x.s < a.at THEN named_struct('at', x.e, 'out', a.out)
                        ELSE named_struct('at', x.e, 'out', concat(a.out, array(substring(text, a.at + 1, x.s - a.at)))) END,
         a -> concat(a.out, array(substring(text, a.at + 1))))""")
-    return scanned.select("doc_id", F.when(F.size("spans") > 0, F.array_join(gap, mark)).otherwise(F.col("text")).alias("text"))
+    out = F.when(F.size("spans") > 0, F.array_join(gap, mark)).otherwise(F.col("text"))
+    return scanned.withColumn("text", out).drop("spans")
 
 
 def oracle_sql(rules=RULES, n_base: int = len(BASE_RULES)) -> str:
