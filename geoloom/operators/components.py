@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     storage, so lineage stays short.  Null ends and loops give no edge; a node
     that only has loops is its own component.
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    e = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL"))
     nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     e = materialize(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = materialize(nodes.select("node", F.col("node").alias("component")))
