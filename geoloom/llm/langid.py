@@ -195,7 +195,7 @@ def _predict_batch(model: Model | None, col: pa.Array) -> tuple[list[str], np.nd
         seen = letter[part]
         for i in range(b - a):
             u, w = off[i], off[i + 1]
-            has[i] = w > u and (seen[u : u + 64].any() or seen[u:w].any() or any(c.isalpha() for c in bytes(part[u:w]).decode("utf-8", "replace")))
+            has[i] = w > u and (seen[u : min(u + 64, w)].any() or seen[u:w].any() or any(c.isalpha() for c in bytes(part[u:w]).decode("utf-8", "replace")))
         k = total.argmax(1)
         ok = np.flatnonzero(has)
         names[a + ok] = np.array(model.labels, object)[k[ok]]
