@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made by this process, in order.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
@@ -18,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/geoloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/geoloom-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -30,3 +36,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the folders that this process made; call it when no result that reads them is needed any more."""
+    conf, n = spark._jsc.hadoopConfiguration(), 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

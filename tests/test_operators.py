@@ -164,3 +164,11 @@ def test_gates(spark):
     assert quality.expect_columns(d, "lat", "x") == "missing columns: x" and quality.expect_rows(d.limit(0)) is not None
     stats = rollups.source_stats(good.withColumn("status", F.lit("planned")), issues).first()
     assert (stats.record_count, stats.planned_count, stats.structural_count, stats.issue_rate) == (1, 1, 3, 3.0)
+
+
+def test_clear(spark, monkeypatch):
+    from geoloom import storage
+
+    monkeypatch.setattr(storage, "_made", [])
+    d = storage.materialize(spark.range(3))
+    assert d.count() == 3 and storage.clear(spark) == 1 and storage.clear(spark) == 0
