@@ -41,7 +41,7 @@ from geoloom.operators.components import connected_components
 #: Tokens in more documents than this may be put last; the list of them holds
 #: HOT_TOKENS entries at most.  Any choice is exact, it only shapes the tiles.
 HOT_DF, HOT_TOKENS = 64, 1 << 20
-BLOCK = 1024
+BLOCK, SMALL = 1024, 128
 
 
 def _pairs_ok(n_i, n_j, overlap, percent: int):
@@ -79,13 +79,13 @@ def bitmap(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _fold(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps of one common width: a wider one is the exclusive or of its parts.
+def _fold(maps: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps at ``width`` bytes: a wider one becomes the exclusive or of its parts.
 
     Bits are numbered by the hash's low bits, so the parts of a wide bitmap lie
-    over each other when its width is halved.
+    over each other when its width is halved, and the difference of two folded
+    bitmaps still has at most as many bits as the sets differ in shingles.
     """
-    width = min(map(len, maps))
     rows = [np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, width), axis=0) if len(m) > width else np.frombuffer(m, np.uint8) for m in maps]
     return np.stack(rows).view(np.uint64)
 
@@ -131,39 +131,45 @@ def signatures(texts: DataFrame, size: int, percent: int, hot: np.ndarray) -> Da
 def _tiles(rows: DataFrame, group: str, percent: int) -> DataFrame:
     """Deal rows (group, cid, n, cnt, ...) to tiles (group, size band, two blocks).
 
-    A row goes to the tiles of its band and of the band below; a group of
-    more than BLOCK rows is cut into blocks by a hash of the class, and each
-    block meets every block.
+    A group of up to SMALL rows is one tile, in which sizes are compared in
+    order.  In a larger one a row goes to the tiles of its band and of the band
+    below; a group of more than BLOCK rows is cut into blocks by a hash of the
+    class, and each block meets every block.
     """
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
     blocks = F.ceil(F.col("cnt") / BLOCK).cast("int")
     d = rows.withColumn("band", band).withColumn("blk", F.pmod(F.xxhash64("cid", F.lit(5)), blocks).cast("int"))
-    d = d.withColumn("tband", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    d = d.withColumn("tband", F.explode(F.when(F.col("cnt") <= SMALL, F.array(F.lit(-9))).otherwise(F.array(F.col("band"), F.col("band") - 1))))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return d.withColumn("tile", F.xxhash64(group, "tband", F.least("blk", "other"), F.greatest("blk", "other"))).drop("tband", "blk", "other", "cnt")
+    return d.withColumn("tile", F.xxhash64(group, "tband", F.least("blk", "other"), F.greatest("blk", "other"))).drop("band", "tband", "blk", "other", "cnt")
 
 
-def _forest(cid: np.ndarray, band: np.ndarray, n: np.ndarray, maps: list[bytes], percent: int, exact=None) -> list[tuple[int, int]]:
+def _forest(cid: np.ndarray, n: np.ndarray, maps: list[bytes], percent: int, exact=None) -> list[tuple[int, int]]:
     """Star edges (member, smallest member) of the components that passing pairs make.
 
     ``exact(i, j)`` decides a pair that passed the bitmap bound; without it the
-    bound decides.  Pairs both of the upper band belong to that band's own tile.
+    bound decides.  Rows are compared in the order of their sizes, each with those
+    up to its size over the threshold.
     """
     order = np.lexsort((cid, n))
-    cid, band, n = cid[order], band[order], n[order]
-    bits = _fold([maps[k] for k in order])
+    cid, n = cid[order], n[order]
+    stop = np.searchsorted(n, n * 100 // percent, side="right")
+    width = np.array([len(maps[k]) for k in order])  # grows with n
     label = np.arange(len(cid))
-    for i in range(len(cid) - 1):
-        stop = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-        j = np.arange(i + 1, stop)
-        j = j[label[j] != label[i]]
-        if not len(j):
-            continue
-        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-        j = j[_pairs_ok(n[i], n[j], (n[i] + n[j] - apart) // 2, percent)]
-        for k in j.tolist():
-            if label[k] != label[i] and (exact is None or exact(order[i], order[k])):
-                label[label == label[k]] = label[i]
+    for w in np.unique(width):
+        # rows of this width meet each other and the larger ones at this width
+        first, last = np.searchsorted(width, w), np.searchsorted(width, w, side="right")
+        bits = _fold([maps[k] for k in order[first : stop[last - 1]]], int(w))
+        for i in range(first, last):
+            j = np.arange(i + 1, stop[i])
+            j = j[label[j] != label[i]]
+            if not len(j):
+                continue
+            apart = np.bitwise_count(bits[j - first] ^ bits[i - first]).sum(1, dtype=np.int64)
+            j = j[_pairs_ok(n[i], n[j], (n[i] + n[j] - apart) // 2, percent)]
+            for k in j.tolist():
+                if label[k] != label[i] and (exact is None or exact(order[i], order[k])):
+                    label[label == label[k]] = label[i]
     least = np.full(len(cid), np.iinfo(np.int64).max)
     np.minimum.at(least, label, cid)
     return [(c, m) for c, m in zip(cid.tolist(), least[label].tolist(), strict=True) if c != m]
@@ -210,7 +216,7 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
         for t in _by_tile(batches, []):
             if t.num_rows < 2:
                 continue
-            found = _forest(t["cid"].to_numpy(), t["band"].to_numpy(), t["n"].to_numpy(), t["bitmap"].to_pylist(), percent)
+            found = _forest(t["cid"].to_numpy(), t["n"].to_numpy(), t["bitmap"].to_pylist(), percent)
             if found:
                 yield _edges(found)
 
@@ -220,7 +226,7 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
 def true_edges(texts: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
     """Spanning edges of the true links within families (cid, family, cnt)."""
     members = families.select(F.col("cid").alias("doc_id"), "family", "cnt")
-    rows = texts.join(members, "doc_id").select("doc_id", "text", "family", "cnt")
+    rows = texts.join(members.hint("merge"), "doc_id").select("doc_id", "text", "family", "cnt")
 
     def arrays(batches):
         for b in batches:
@@ -251,7 +257,7 @@ def true_edges(texts: DataFrame, families: DataFrame, size: int, percent: int) -
                 overlap = int((b[np.minimum(p, len(b) - 1)] == a).sum())
                 return _pairs_ok(int(n[i]), int(n[j]), overlap, percent)
 
-            found = _forest(t["cid"].to_numpy(), t["band"].to_numpy(), n, t["bitmap"].to_pylist(), percent, exact)
+            found = _forest(t["cid"].to_numpy(), n, t["bitmap"].to_pylist(), percent, exact)
             if found:
                 yield _edges(found)
 
