@@ -42,6 +42,8 @@ from geoloom.operators.components import connected_components
 #: HOT_TOKENS entries at most.  Any choice is exact, it only shapes the tiles.
 HOT_DF, HOT_TOKENS = 64, 1 << 20
 BLOCK, SMALL = 1024, 128
+#: Bytes of text whose shingles are worked out at once.
+SLICE_BYTES = 1 << 20
 
 
 def _pairs_ok(n_i, n_j, overlap, percent: int):
@@ -55,9 +57,9 @@ def hot_tokens(texts: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         for b in batches:
             raw, off = arrowbytes.flat(b.column(0))
-            for x, y in arrowbytes.slices(off):
-                h, _ = shingles.sets(raw[off[x] : off[y]], off[x : y + 1] - off[x], size)
-                u, c = np.unique(h, return_counts=True)
+            for a, z in arrowbytes.slices(off):
+                parts = [shingles.sets(raw[off[a + x] : off[a + y]], off[a + x : a + y + 1] - off[a + x], size)[0] for x, y in arrowbytes.slices(off[a : z + 1], SLICE_BYTES)]
+                u, c = np.unique(np.concatenate(parts), return_counts=True)
                 k = c >= 3
                 yield pa.RecordBatch.from_arrays([pa.array(u[k].view(np.int64)), pa.array(c[k].astype(np.int64))], names=["h", "c"])
 
@@ -98,7 +100,7 @@ def signatures(texts: DataFrame, size: int, percent: int, hot: np.ndarray) -> Da
         top = held.value
         for b in batches:
             raw, off = arrowbytes.flat(b.column(1))
-            for x, y in arrowbytes.slices(off):
+            for x, y in arrowbytes.slices(off, SLICE_BYTES):
                 h, count = shingles.sets(raw[off[x] : off[y]], off[x : y + 1] - off[x], size)
                 ends = np.cumsum(count)
                 frequent = top[np.minimum(np.searchsorted(top, h), len(top) - 1)] == h if len(top) else np.zeros(len(h), bool)
@@ -231,7 +233,7 @@ def true_edges(texts: DataFrame, families: DataFrame, size: int, percent: int) -
     def arrays(batches):
         for b in batches:
             raw, off = arrowbytes.flat(b.column(1))
-            for x, y in arrowbytes.slices(off):
+            for x, y in arrowbytes.slices(off, SLICE_BYTES):
                 h, count = shingles.sets(raw[off[x] : off[y]], off[x : y + 1] - off[x], size)
                 at = np.concatenate([[0], np.cumsum(count)])
                 maps = [bitmap(h[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

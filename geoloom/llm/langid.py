@@ -94,7 +94,7 @@ class Model:
         c4 = (t[:, :-2, 2 * f : 3 * f] + t[:, 2:, 3 * f :]).max(1)
         return np.maximum(np.hstack([c2, c3, c4]) + np.hstack(self.bias), 0)
 
-    def probabilities(self, x: np.ndarray, step: int = 1024) -> np.ndarray:
+    def probabilities(self, x: np.ndarray, step: int = 256) -> np.ndarray:
         tables = self.tables()
         h = [self.pooled(x[i : i + step], tables) for i in range(0, len(x), step)]
         z = (np.vstack(h) if h else np.zeros((0, len(WIDTHS) * FILTERS), np.float32)) @ self.out + self.out_bias
@@ -182,7 +182,7 @@ def _predict_batch(model: Model | None, col: pa.Array) -> tuple[list[str], np.nd
         return names.tolist(), score
     letter = np.zeros(256, bool)
     letter[[*range(65, 91), *range(97, 123)]] = True
-    for a, b in arrowbytes.slices(offsets):
+    for a, b in arrowbytes.slices(offsets, 1 << 20):
         off = offsets[a : b + 1] - offsets[a]
         part = raw[offsets[a] : offsets[b]]
         x, rows, size = windows(part, off)
