@@ -10,9 +10,15 @@ Candidates are verified by exact approximate matching (Myers' bit vectors)
 of the item in the window's surroundings.
 
 Embedding a window at every byte would cost thousands of steps a byte, so
-windows are placed where a text holds SEED bytes of some item, at the offset
-that they have there.  An item with few enough edits for the limit keeps such a
-run except when its edits fall closer than SEED bytes throughout.
+windows are placed by a bound that no match within the limit k escapes.  An item
+is cut into more than k disjoint pieces of PIECE bytes; k edits leave at least
+``pieces - k`` of them whole, in order, and shifted against each other by k
+bytes at most.  A window is placed where that many pieces of an item stand so:
+by their count in a band of shifts, then by distinct pieces, then by the longest
+run in order.  A placed window names its item; if any table agrees the two are a
+candidate, else they become one unless the bound excludes them on pieces cut two
+bytes later as well.  So neither placing nor sampling loses a match; ``recall``
+of the index is the share of planted edits at the limit on which tables agree.
 
 Items are held in blocks of ITEM_BLOCK, one pass over the texts a block, so
 what is broadcast has a fixed bound whatever the benchmark's size.
@@ -24,6 +30,7 @@ once with the smallest distance; a null doc or item id is reported as null.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,10 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm import arrowbytes
-from geoloom.llm.hashing import Prefix
 
 SIMILARITY, RECALL = 0.8, 0.99
 SEED, STEPS_PER_BYTE, SAMPLE, MAX_TABLES = 16, 3, 4, 256
+#: Bytes of a piece, bits of the table of pieces, bytes of text counted at once, parts of a band.
+PIECE, PIECE_BITS, CHUNK, PARTS = 4, 18, 1 << 16, 4
 ITEM_BLOCK = 20_000
 
 _LOW = np.arange(256, dtype=np.uint8)
@@ -94,6 +102,21 @@ def distance(pattern: bytes, text: bytes) -> int:
     return best
 
 
+@dataclass
+class Pieces:
+    """Disjoint pieces of ``size`` bytes of some items, listed by hash."""
+
+    size: int
+    items: np.ndarray
+    lens: np.ndarray
+    limits: np.ndarray
+    need: np.ndarray  # pieces that k edits leave whole
+    owner: np.ndarray  # index into items
+    at: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+
+
 @dataclass
 class Index:
     """LSH index of one block of items."""
@@ -104,18 +127,15 @@ class Index:
     coords: np.ndarray  # [tables, SAMPLE], coordinates of the walk
     walks: np.ndarray  # walk of each table
     n_steps: int
-    buckets: list[dict[bytes, list[int]]]
-    seeds: np.ndarray
-    seed_item: np.ndarray
-    seed_at: np.ndarray
+    samples: np.ndarray  # [items, tables, SAMPLE]
+    pieces: list[Pieces]
+    recall: float
     short: dict[int, int]
 
-    def embedded(self, strings: list[np.ndarray]) -> list[np.ndarray]:
-        return [embed(strings, self.n_steps, 1000 + int(w)) for w in range(int(self.walks.max(initial=0)) + 1)]
-
-    def keys(self, e: list[np.ndarray]):
-        for t, c in enumerate(self.coords):
-            yield t, e[self.walks[t]][:, c]
+    def sampled(self, strings: list[np.ndarray]) -> np.ndarray:
+        """[strings, tables, SAMPLE] sampled coordinates."""
+        e = [embed(strings, self.n_steps, 1000 + int(w)) for w in range(int(self.walks.max(initial=0)) + 1)]
+        return np.stack([e[w][:, c] for w, c in zip(self.walks, self.coords, strict=True)], axis=1)
 
 
 def _edited(r: np.random.Generator, s: np.ndarray, k: int) -> np.ndarray:
@@ -145,7 +165,7 @@ def build(rows: list[tuple], similarity: float = SIMILARITY, recall: float = REC
     if not items:
         return None
     arrays = [np.frombuffer(s, np.uint8) for s in items]
-    limits = np.array([int((1 - similarity) * len(s)) for s in items])
+    limits = np.array([int((1 - similarity) * len(s) + 1e-9) for s in items])  # 1 - 0.8 is a little under 0.2
     n_steps = STEPS_PER_BYTE * max(map(len, items))
     # sampled coordinates lie where the walk of the shortest item still reads bytes
     span = np.maximum(1, np.array([2 * len(s) for s in items]))
@@ -163,79 +183,158 @@ def build(rows: list[tuple], similarity: float = SIMILARITY, recall: float = REC
         if found.mean() >= recall and t + 1 >= n_walks:
             tables = t + 1
             break
-    index = Index(ids, items, limits, coords[:tables], walks[:tables], n_steps, [], np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), {})
-    e = index.embedded(arrays)
-    for _, k in index.keys(e):
-        held: dict[bytes, list[int]] = {}
-        for i, row in enumerate(k):
-            held.setdefault(row.tobytes(), []).append(i)
-        index.buckets.append(held)
-    seeds, owner, at = [], [], []
+    # steps beyond the last sampled coordinate are never looked at
+    index = Index(ids, items, limits, coords[:tables], walks[:tables], int(coords[:tables].max()) + 1, np.zeros(0), [], float(found.mean()), {})
+    index.samples = np.concatenate([index.sampled(arrays[a : a + 4096]) for a in range(0, len(arrays), 4096)])
+    sizes: dict[int, list[int]] = {}
     for i, s in enumerate(arrays):
         if len(s) >= SEED:
-            h = Prefix(s).windows(SEED)
-            seeds.append(h)
-            owner.append(np.full(len(h), i))
-            at.append(np.arange(len(h)))
+            k = int(limits[i])
+            sizes.setdefault(PIECE if len(s) // PIECE > k else max(1, len(s) // (k + 1)), []).append(i)
         else:
             index.short[i] = len(s)
-    if seeds:
-        h, o, p = np.concatenate(seeds), np.concatenate(owner), np.concatenate(at)
-        order = np.argsort(h, kind="stable")
-        index.seeds, index.seed_item, index.seed_at = h[order], o[order], p[order]
+    index.pieces = [_pieces(q, np.array(m), arrays, limits) for q, m in sorted(sizes.items())]
     return index
 
 
-def _windows(index: Index, text: np.ndarray, off: np.ndarray, filt: np.ndarray, mask: np.uint64):
-    """(row, start, length) of the item-sized windows that seeds place, each once."""
-    if len(text) < SEED or not len(index.seeds):
-        return np.zeros((0, 3), np.int64)
-    h = Prefix(text).windows(SEED)
-    hit = np.flatnonzero(filt[(h & mask).astype(np.int64)])
-    first = np.searchsorted(index.seeds, h[hit], side="left")
-    count = np.searchsorted(index.seeds, h[hit], side="right") - first
-    pos = np.repeat(hit, count)
-    k = arrowbytes.ragged(first, count)
-    rows = np.searchsorted(off, pos, side="right") - 1
-    inside = pos + SEED <= off[rows + 1]
-    pos, k, rows = pos[inside], k[inside], rows[inside]
-    size = np.array([len(s) for s in index.items])[index.seed_item[k]]
-    start = np.maximum(pos - index.seed_at[k], off[rows])
-    return np.unique(np.stack([rows, start, size], axis=1), axis=0)
-
-
-def _search(index: Index, text: np.ndarray, off: np.ndarray, filt: np.ndarray, mask: np.uint64) -> dict[tuple[int, int], int]:
-    """(row, item) -> edit distance, within the item's limit."""
-    best: dict[tuple[int, int], int] = {}
-    win = _windows(index, text, off, filt, mask)
-    sizes = np.array([len(s) for s in index.items])
+def _bucket(text: np.ndarray, size: int) -> np.ndarray:
+    """Table place of the ``size`` bytes (4 at most) at each position."""
+    n = len(text) - size + 1
+    code = np.zeros(n, np.uint32)
+    for b in range(size):
+        code |= text[b : b + n].astype(np.uint32) << np.uint32(8 * b)
+    return (code * np.uint32(2654435761)) >> np.uint32(32 - PIECE_BITS)
+
+
+def _pieces(size: int, members: np.ndarray, arrays: list[np.ndarray], limits: np.ndarray) -> Pieces:
+    lens = np.array([len(arrays[i]) for i in members])
+    n = lens // size
+    owner, at = np.repeat(np.arange(len(members)), n), arrowbytes.ragged(np.zeros(len(n), np.int64), n) * size
+    h = np.concatenate([_bucket(arrays[i], size)[::size][:c] for i, c in zip(members, n, strict=True)])
+    order = np.argsort(h, kind="stable")
+    count = np.bincount(h, minlength=1 << PIECE_BITS)
+    return Pieces(size, members, lens, limits[members], n - limits[members], owner[order], at[order].astype(np.int32), (np.cumsum(count) - count).astype(np.int32), count.astype(np.int32))
+
+
+def _in_order(at: list[int], pos: list[int]) -> int:
+    """Most pieces that stand in order: rising offsets ``at`` at rising positions."""
+    tails: list[int] = []
+    for _, p in sorted(zip(at, (-p for p in pos), strict=True)):
+        k = bisect_left(tails, -p)
+        tails[k : k + 1] = [-p]
+    return len(tails)
+
+
+def _places(p: Pieces, text: np.ndarray):
+    """(item, least, largest shift) wherever as many pieces of an item stand in order as its limit leaves whole."""
+    n, pad = len(text), int(p.lens.max())
+    if n < p.size:
+        return
+    # buckets of shifts: a spread of k touches PARTS + 1 neighbouring ones at most
+    scale = (1 << 14) // -(-(p.limits + 1) // PARTS)
+    size = ((n + pad) * scale >> 14) + 2 + PARTS
+    base = np.cumsum(size) - size
+    c = _bucket(text, p.size)
+    k = p.count[c]
+    hit = np.flatnonzero(k)
+    k = k[hit]
+    ends = np.cumsum(k)
+    if not len(ends):
+        return
+    g = np.arange(ends[-1], dtype=np.int32) + np.repeat((p.first[c[hit]] - (ends - k)).astype(np.int32), k)
+    shift = np.repeat((hit + pad).astype(np.int32), k) - p.at[g]
+    kind = np.int32 if max((n + pad) * int(scale.max()), int(size.sum())) < 1 << 31 else np.int64
+    key = (shift.astype(kind, copy=False) * scale.astype(kind)[p.owner][g] >> 14) + base.astype(kind)[p.owner][g]
+    total = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=int(size.sum())))])
+    band = np.flatnonzero(total[PARTS + 1 :] - total[: -PARTS - 1] >= np.repeat(p.need, size)[:-PARTS])
+    if not len(band):
+        return
+    mark = np.bincount(band, minlength=len(total)) - np.bincount(band + PARTS + 1, minlength=len(total))
+    keep = np.flatnonzero((np.cumsum(mark) > 0)[key])
+    g, shift = g[keep], shift[keep].astype(np.int64)
+    own, at = p.owner[g], p.at[g].astype(np.int64)
+    # overlapping bands of 2 (k + 1) shifts: some one holds any spread of k; distinct pieces are counted in each
+    wide = p.limits + 1
+    size = (n + pad) // wide + 3
+    base = np.cumsum(size) - size
+    window = base[own] + shift // wide[own] + 1
+    each = int(p.lens.max()) // p.size + 1
+    u = np.unique(np.concatenate([window, window - 1]) * each + np.tile(at // p.size, 2))
+    enough = np.bincount(u // each, minlength=int(size.sum())) >= np.repeat(p.need, size)
+    rows = np.concatenate([np.flatnonzero(enough[window]), np.flatnonzero(enough[window - 1])])
+    w = np.concatenate([window[enough[window]], window[enough[window - 1]] - 1])
+    order = np.argsort(w, kind="stable")
+    w, rows = w[order], rows[order]
+    cuts = np.flatnonzero(np.diff(w, prepend=-1, append=-1)) if len(w) else np.zeros(1, np.int64)
+    at, place = at[rows], shift[rows] - pad
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        i = own[rows[a]]
+        if _in_order(at[a:z].tolist(), (place[a:z] + at[a:z]).tolist()) >= p.need[i]:
+            yield int(p.items[i]), int(place[a:z].min()), int(place[a:z].max())
+
+
+def _windows(index: Index, text: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(row, item, low, high): parts of texts that hold every match within an item's limit, sorted."""
+    out = set()
+    for p in index.pieces:
+        more = 2 * int(p.lens.max())
+        step = max(CHUNK, more)
+        for a in range(0, len(text), step):
+            for i, least, most in _places(p, text[a : a + step + more]):
+                n, lim = len(index.items[i]), int(index.limits[i])
+                low, high = max(0, a + least - lim), min(len(text), a + most + n + lim)
+                for r in range(int(np.searchsorted(off, low, side="right")) - 1, int(np.searchsorted(off, high, side="left"))):
+                    x, y = max(low, int(off[r])), min(high, int(off[r + 1]))
+                    if y - x >= n - lim:
+                        out.add((r, i, x, y))
+    return sorted(out)
+
+
+def _agreed(index: Index, text: np.ndarray, win: list[tuple[int, int, int, int]]) -> list[bool]:
+    """Whether any table agrees on a window and its item."""
+    out: list[bool] = []
     for s in range(0, len(win), 4096):
         part = win[s : s + 4096]
-        cuts = [text[a : min(a + n, off[r + 1])] for r, a, n in part.tolist()]
-        found: set[tuple[int, int]] = set()
-        e = index.embedded(cuts)
-        for t, k in index.keys(e):
-            held = index.buckets[t]
-            for w, key in enumerate(k):
-                if (got := held.get(key.tobytes())) is not None:
-                    found.update((w, i) for i in got)
-        around: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for w, i in sorted(found):
-            r, a, n = part[w].tolist()
-            lim = int(index.limits[i])
-            if abs(n - int(sizes[i])) > lim:
-                continue  # outside the item's size band
-            spans = around.setdefault((r, i), [])
-            low, high = max(int(off[r]), a - lim), min(int(off[r + 1]), a + int(sizes[i]) + lim)
-            if spans and low <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(high, spans[-1][1]))
-            else:
-                spans.append((low, high))
-        for (r, i), spans in around.items():
-            for low, high in spans:
-                d = distance(index.items[i], text[low:high].tobytes())
-                if d <= index.limits[i] and d < best.get((r, i), 1 << 60):
-                    best[r, i] = d
+        cuts = [text[min(low + int(index.limits[i]), high - 1) : high][: len(index.items[i])] for _, i, low, high in part]
+        out += (index.sampled(cuts) == index.samples[[i for _, i, _, _ in part]]).all(2).any(1).tolist()
+    return out
+
+
+def _excluded(item: bytes, text: bytes, limit: int) -> bool:
+    """Whether too few pieces of ``item``, cut two bytes in, stand in order in ``text``."""
+    need = (len(item) - 2) // PIECE - limit
+    if need < 1:
+        return False
+    at, pos = [], []
+    for a in range(2, len(item) - PIECE + 1, PIECE):
+        piece = item[a : a + PIECE]
+        p = text.find(piece)
+        while p >= 0:
+            at.append(a)
+            pos.append(p)
+            p = text.find(piece, p + 1)
+    return len(set(at)) < need or _in_order(at, pos) < need
+
+
+def _search(index: Index, text: np.ndarray, off: np.ndarray) -> dict[tuple[int, int], int]:
+    """(row, item) -> edit distance, within the item's limit."""
+    best: dict[tuple[int, int], int] = {}
+    around: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    win = _windows(index, text, off)
+    agreed = _agreed(index, text, win)
+    for (r, i, low, high), sure in zip(win, agreed, strict=True):
+        if not sure and _excluded(index.items[i], text[low:high].tobytes(), int(index.limits[i])):
+            continue
+        spans = around.setdefault((r, i), [])
+        if spans and low <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(high, spans[-1][1]))
+        else:
+            spans.append((low, high))
+    for (r, i), spans in around.items():
+        for low, high in spans:
+            d = distance(index.items[i], text[low:high].tobytes())
+            if d <= index.limits[i] and d < best.get((r, i), 1 << 60):
+                best[r, i] = d
     for i in index.short:
         item = index.items[i]
         whole = text.tobytes()
@@ -271,16 +370,12 @@ def _pass(texts: DataFrame, index: Index) -> DataFrame:
 
     def run(batches):
         index = held.value
-        bits = max(16, int(len(index.seeds) * 16).bit_length())
-        mask = np.uint64((1 << bits) - 1)
-        filt = np.zeros(1 << bits, bool)
-        filt[(index.seeds & mask).astype(np.int64)] = True
         for b in batches:
             raw, off = arrowbytes.flat(b.column(1))
             ids = b.column(0)
             for x, y in arrowbytes.slices(off):
                 t, o = normal(raw[off[x] : off[y]], off[x : y + 1] - off[x])
-                best = _search(index, t, o, filt, mask)
+                best = _search(index, t, o)
                 if best:
                     rows = [(ids[x + r].as_py(), index.ids[i], d) for (r, i), d in sorted(best.items())]
                     yield pa.RecordBatch.from_arrays([pa.array([q[k] for q in rows], ty) for k, ty in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "distance"])

@@ -181,3 +181,23 @@ def test_blocks_of_items(spark, docs, odd_texts, monkeypatch):
     one = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()), key=repr)
     monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 2)
     assert one and sorted(map(tuple, decontaminate.leaks(docs, bench).collect()), key=repr) == one
+
+
+@pytest.mark.parametrize("even", [False, True])
+def test_edits_up_to_the_limit_are_all_found(spark, even):
+    """Edits so dense that no long run survives, at random places and at every fifth byte."""
+    rng, words = np.random.default_rng(3), [bytes(w) for w in np.random.default_rng(4).integers(97, 110, (60, 4), dtype=np.uint8)]
+    prose = lambda n: b" ".join(words[k] for k in rng.integers(0, 60, n))
+    items = [prose(int(n)) for n in rng.integers(4, 70, 40)]
+    limits = [len(t) // 5 for t in items]
+    texts = []
+    for k, t in enumerate(items):
+        b = bytearray(t)
+        for e in range(limits[k]):
+            b[5 * e + 4 if even else int(rng.integers(len(b)))] = 35
+        texts.append(prose(50) + b" " + bytes(b) + b" " + prose(30))
+    want = {(r, i): d for r, t in enumerate(texts) for i, p in enumerate(items) if (d := decontaminate.distance(p, t)) <= limits[i]}
+    assert {(k, k) for k in range(40)} <= set(want)
+    docs = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaks(docs, bench).collect()} == want
