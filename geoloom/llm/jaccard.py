@@ -278,6 +278,7 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
     classes = materialize(classes)
     ids = classes.select(F.col("cid").alias("rep"), "k1", "k2")
     reps = sig.join(ids, (sig.doc_id == ids.rep) & (sig.k1 == ids.k1) & (sig.k2 == ids.k2), "left_semi").select(F.col("doc_id").alias("cid"), "n", "prefix", "bitmap")
+    reps = reps.dropDuplicates(["cid"])  # repeated rows are one node: members of a token are keyed by an exclusive or
     maybe = connected_components(candidate_edges(reps, percent))
     sizes = maybe.groupBy("component").agg(F.count("*").alias("cnt"))
     families = maybe.join(sizes, "component").select(F.col("node").alias("cid"), F.col("component").alias("family"), "cnt")

@@ -201,3 +201,17 @@ def test_edits_up_to_the_limit_are_all_found(spark, even):
     docs = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
     bench = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(items)], "item_id long, text string")
     assert {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaks(docs, bench).collect()} == want
+
+
+def test_jaccard_table_with_itself(spark):
+    """Every row twice: pairs of near copies stay linked."""
+    rows = []
+    for k in range(12):
+        w = [f"t{k}x{j}" for j in range(60)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:-1], "other"]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    d = d.unionAll(d)
+    want = brute_components(rows, 4, 85)
+    assert len(set(want.values())) == 12
+    got = jaccard.similar_components(d, 4, 85).collect()
+    assert len(got) == 48 and {r.doc_id: r.component_id for r in got} == want
