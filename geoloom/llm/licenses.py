@@ -18,6 +18,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.llm.licensedigests import DIGESTS
+
 #: Equivalent spellings, applied in this order to lower-case text.
 EQUIVALENTS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("organisation", "organization"),
@@ -81,8 +83,8 @@ def digest_of(text: str) -> str:
 
 
 def registry() -> list[tuple[str, str]]:
-    """(digest, identifier) of the known texts, sorted; a few rows, fixed by KNOWN."""
-    return sorted({(digest_of(t), i) for i, t in KNOWN})
+    """(digest, identifier) of the known texts, sorted; a few rows, fixed by KNOWN and DIGESTS."""
+    return sorted({(digest_of(t), i) for i, t in KNOWN} | {(d, i) for i, d in DIGESTS})
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
