@@ -47,7 +47,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.planes = max(1, (self.lib.get_vocab_size() - 1).bit_length())
         follow = np.zeros(256, bool)
         follow[0x21:0x7F] = True

@@ -83,3 +83,15 @@ def test_files_round_trip(docs, empty):
         assert (g.n_tokens, g.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert tokenfiles.round_trip(empty, BYTES).count() == 0
+
+
+def test_special_token_text_as_by_default(spark):
+    """A text that holds a special token's literal is encoded as a fresh tokenizer does it."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BYTES)
+    texts = ["a<|endoftext|> x", "<|endoftext|>", "a <|endoftext|> b <|endoftext|>", "x<|endof text|>", "<|endoftext|><|endoftext|>\n y"]
+    got = {r.doc_id: r for r in tokenfiles.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTES).collect()}
+    for k, t in enumerate(texts):
+        ids = [*lib.encode(t, add_special_tokens=False).ids, 0]
+        assert (got[k].n_tokens, got[k].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
