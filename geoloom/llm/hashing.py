@@ -51,3 +51,50 @@ class Prefix:
         """Hashes of all windows of ``size`` bytes that start in [first, last)."""
         last = len(self.sums) - size if last is None else last
         return mix((self.sums[first + size : last + size] - self.sums[first:last]) * self.inverse[first:last])
+
+
+class Table:
+    """Hash table from 64-bit hashes to numbers from 0, by open addressing; grows as it fills."""
+
+    def __init__(self, bits: int = 16):
+        self.used = 0
+        self._alloc(bits)
+
+    def _alloc(self, bits: int) -> None:
+        self.bits, self.shift, self.mask = bits, np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where it is unknown."""
+        at = self._slots(h)
+        out, held = self.values[at], self.keys[at]
+        todo = np.flatnonzero((held != h) & (out >= 0))
+        out[(held != h) & (out < 0)] = -1
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            v, ok = self.values[at[todo]], self.keys[at[todo]] == h[todo]
+            out[todo] = np.where(ok, v, -1)
+            todo = todo[~ok & (v >= 0)]
+        return out
+
+    def put(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct hashes that are not in the table."""
+        if 2 * (self.used + len(h)) > len(self.keys):
+            full = self.values >= 0
+            h, values = np.concatenate([self.keys[full], h]), np.concatenate([self.values[full], values])
+            self._alloc(max(self.bits + 1, int(2 * len(h)).bit_length() + 1))
+            self.used = 0
+        self.used += len(h)
+        at, todo = self._slots(h), np.arange(len(h))
+        while len(todo):
+            free = todo[self.values[at[todo]] < 0]
+            place, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[place], self.values[place] = h[put], values[put]
+            left = np.ones(len(h), bool)
+            left[put] = False
+            todo = todo[left[todo]]
+            at[todo] = (at[todo] + 1) & self.mask

@@ -30,20 +30,26 @@ def build(tokens: np.ndarray, doc_ids: list, lengths: np.ndarray, n_planes: int)
     squeeze = zstandard.ZstdCompressor(level=1)
     zeros, ones, ends, blocks, at = [], [], [], [], 0
     for b in range(n_planes - 1, -1, -1):
-        bit = ((seq >> seq.dtype.type(b)) & seq.dtype.type(1)).astype(bool)
-        packed = np.packbits(bit, bitorder="little")
-        counts, stops, total = [], [], 0
-        for s in range(0, len(packed), BLOCK):
-            part = packed[s : s + BLOCK]
+        mask, counts, stops, total = seq.dtype.type(1 << b), [], [], 0
+        for s in range(0, len(seq), 8 * BLOCK):
+            packed = np.packbits((seq[s : s + 8 * BLOCK] & mask) != 0, bitorder="little")
             counts.append(total)
-            total += int(_POP[part].sum(dtype=np.int64))
-            blocks.append(squeeze.compress(part.tobytes()))
+            total += int(_POP[packed].sum(dtype=np.int64))
+            blocks.append(squeeze.compress(packed.tobytes()))
             at += len(blocks[-1])
             stops.append(at)
         zeros.append(len(seq) - total)
         ones.append(counts)
         ends.append(stops)
-        seq = np.concatenate([seq[~bit], seq[bit]])
+        if b:
+            spare, z, o = np.empty_like(seq), 0, len(seq) - total
+            for s in range(0, len(seq), 8 * BLOCK):
+                part = seq[s : s + 8 * BLOCK]
+                bit = (part & mask) != 0
+                high, low = part[np.flatnonzero(bit)], part[np.flatnonzero(~bit)]
+                spare[z : z + len(low)], spare[o : o + len(high)] = low, high
+                z, o = z + len(low), o + len(high)
+            seq = spare
     head = json.dumps({"n": len(tokens), "planes": n_planes, "docs": len(doc_ids), "zeros": zeros, "ones": ones, "ends": ends}).encode()
     present = np.array([d is not None for d in doc_ids], np.uint8)
     ids = np.array([d if d is not None else 0 for d in doc_ids], np.int64)
@@ -148,10 +154,12 @@ class WaveletMatrix:
         dtype = np.uint32 if self.planes > 16 else np.uint16
         seq = np.zeros(self.n, dtype)
         for p in range(self.planes - 1, -1, -1):
-            packed = np.concatenate([self._read_block(p, k) for k in range(len(self.ends[p]))]) if self.n else np.zeros(0, np.uint8)
-            bit = np.unpackbits(packed, count=self.n, bitorder="little").astype(bool)
-            up = np.empty(self.n, dtype)
-            up[~bit] = seq[: self.zeros[p]]
-            up[bit] = seq[self.zeros[p] :] | dtype(1 << (self.planes - 1 - p))
+            up, z, o, mask = np.empty(self.n, dtype), 0, self.zeros[p], dtype(1 << (self.planes - 1 - p))
+            for k in range(len(self.ends[p])):
+                part = up[8 * BLOCK * k : 8 * BLOCK * (k + 1)]
+                bit = np.unpackbits(self._read_block(p, k), count=len(part), bitorder="little").view(bool)
+                high, low = np.flatnonzero(bit), np.flatnonzero(~bit)
+                part[low], part[high] = seq[z : z + len(low)], seq[o : o + len(high)] | mask
+                z, o = z + len(low), o + len(high)
             seq = up
         return seq

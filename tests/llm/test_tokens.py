@@ -48,6 +48,21 @@ def test_byte_encoder_equals_library(odd_texts, memory, monkeypatch):
         assert [ids[z - n : z].tolist() for n, z in zip(counts, ends, strict=True)] == [x.ids for x in e.lib.encode_batch(part, add_special_tokens=False)]
 
 
+def test_byte_encoder_on_random_texts():
+    """Segments learned in any order and joined for the library give the ids of whole texts."""
+    from tokenizers import Tokenizer
+
+    lib, e, r = Tokenizer.from_file(BYTES), tokenfiles.Encoder(BYTES), np.random.default_rng(4)
+    parts = ["a", "The", "'s", "'", "é", "×", "ß", " ", "  ", "\n", "\t", "\u00a0", "\u3000", ".", ",", "7", "日", "😀", "x9", "<|endoftext|>", "<|", "\x00", "ll"]
+    texts = ["".join(parts[k] for k in r.integers(0, len(parts), r.integers(0, 40))) for _ in range(4000)]
+    for x in range(0, 4000, 1000):
+        b = [t.encode() for t in texts[x : x + 1000]]
+        off = np.concatenate([[0], np.cumsum([len(y) for y in b])])
+        ids, counts = e.encode(np.frombuffer(b"".join(b), np.uint8), off)
+        ends = np.cumsum(counts)
+        assert [ids[z - n : z].tolist() for n, z in zip(counts, ends, strict=True)] == [y.ids for y in lib.encode_batch(texts[x : x + 1000], add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("n, top", [(0, 10), (1, 2), (777, 300), (300_000, 50_257)])
 def test_wavelet(n, top):
     r = np.random.default_rng(n)
@@ -72,7 +87,6 @@ def test_files_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(BYTES)
-    lib.encode_special_tokens = True
     files = tokenfiles.write(docs, BYTES, tokenfiles.shared_dir(docs.sparkSession), range_bytes=20_000, file_tokens=500)
     got = {(r.start, r.doc_id): r for r in tokenfiles.read_back(files).collect()}
     assert files.count() > 3 and len(got) == docs.count()
