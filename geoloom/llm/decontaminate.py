@@ -3,24 +3,23 @@
 Texts and items are compared after lower-casing A-Z and squeezing white space.
 Item-sized windows of a text are embedded by the CGK random walk, under which
 the Hamming distance follows the edit distance; a window and an item of its
-size band are candidates if any table of sampled coordinates agrees.  The
-number of tables is chosen when the index is built: items are edited at random
-up to the limit and tables are added until the target recall is reached.
+size band are candidates if any table of sampled coordinates agrees.  Each
+band's number of tables is chosen when the index is built: items are edited at
+random up to the limit and tables are added until the target recall is reached;
+if MAX_TABLES do not reach it, fewer coordinates are sampled a table.
 Candidates are verified by exact approximate matching (Myers' bit vectors)
 of the item in the window's surroundings.
 
 Embedding a window at every byte would cost thousands of steps a byte, so
-windows are placed by a bound that no match within the limit k escapes.  An item
-is cut into more than k disjoint pieces of PIECE bytes; k edits leave at least
-``pieces - k`` of them whole, in order, and shifted against each other by k
-bytes at most.  A window is placed where that many pieces of an item stand so:
-by their count in a band of shifts, then by distinct pieces, then by the longest
-run in order.  A placed window names its item; if any table agrees the two are a
-candidate, else they become one unless the bound excludes them on pieces cut two
-bytes later as well.  So neither placing nor sampling loses a match; ``recall``
-of the index is the share of planted edits at the limit on which tables agree.
-
-Items are held in blocks of ITEM_BLOCK, one pass over the texts a block, so
+windows are placed where short pieces of an item stand: all its substrings of q
+bytes, q being the largest of SIZES that edits at the limit leave RUNS whole
+runs of on average.  A window is placed where NEED such pieces or more agree on
+the item's start up to a drift of shifts, and starts where the first of them
+says.  Edits that are spread evenly (one in every fifth byte) leave no such
+piece at the limit itself and are not found there; the recall that is stated and
+tested is for edits at random places, through the whole search.
+
+Items are held in blocks of BLOCK_BYTES, one pass over the texts a block, so
 what is broadcast has a fixed bound whatever the benchmark's size.
 
 Defined results: null and empty texts and items match nothing; an item shorter
@@ -30,7 +29,6 @@ once with the smallest distance; a null doc or item id is reported as null.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,43 +37,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm import arrowbytes
+from geoloom.llm.hashing import Table, mix
 
 SIMILARITY, RECALL = 0.8, 0.99
-SEED, STEPS_PER_BYTE, SAMPLE, MAX_TABLES = 16, 3, 4, 256
-#: Bytes of a piece, bits of the table of pieces, bytes of text counted at once, parts of a band.
-PIECE, PIECE_BITS, CHUNK, PARTS = 4, 18, 1 << 16, 4
-ITEM_BLOCK = 20_000
+#: Shortest item that may match with edits, coordinates a table at most, tables a band at most, walks, steps looked at.
+SEED, SAMPLE, MAX_TABLES, WALKS, SPAN = 16, 4, 512, 8, 192
+#: Piece sizes, whole runs that the limit's edits must leave on average, pieces that place a window.
+SIZES, RUNS, SHARE = (3, 4, 5, 6, 8, 10, 12), 5, 0.33
+#: Bytes of text looked at at once, edited copies of each item for choosing tables, items of a band used for it.
+CHUNK, TRIALS, TRIED = 1 << 18, 4, 400
+#: Bytes of items in one block, and windows embedded at once.
+BLOCK_BYTES, EMBEDDED = 4 << 20, 4096
 
-_LOW = np.arange(256, dtype=np.uint8)
-_LOW[65:91] += 32
-_LOW[[9, 10, 11, 12, 13]] = 32
+_LOW = bytes(range(9)) + b" " * 5 + bytes(range(14, 65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def normal(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes with white space squeezed to one space, per text."""
-    low = _LOW[raw]
-    keep = np.ones(len(low), bool)
-    keep[1:] = (low[1:] != 32) | (low[:-1] != 32)
+    low = np.frombuffer(raw.tobytes().translate(_LOW), np.uint8)
+    space = low == 32
+    drop = np.zeros(len(low), bool)
+    np.logical_and(space[1:], space[:-1], out=drop[1:])
     starts = offsets[:-1][np.diff(offsets) > 0]
-    keep[starts] = low[starts] != 32
-    total = np.concatenate([[0], np.cumsum(keep)])
-    return low[keep], total[offsets]
+    drop[starts] = space[starts]
+    gone = np.flatnonzero(drop)
+    if not len(gone):
+        return low, offsets
+    return low[~drop], offsets - np.searchsorted(gone, offsets)
+
+
+def walk(texts: np.ndarray, lens: np.ndarray, n_steps: int, seed: int) -> np.ndarray:
+    """CGK embeddings [n_steps, n] of rows of a padded matrix with a spare column of zeros.
+
+    The walk copies a byte and moves on or stays by a random bit of (step, byte).
+    """
+    move = np.random.default_rng(seed).integers(0, 2, (n_steps, 256), dtype=np.int64)
+    n, width = texts.shape
+    flat, at = texts.reshape(-1), np.arange(n) * width
+    end, out = at + lens, np.empty((n_steps, n), np.uint8)
+    for j in range(n_steps):
+        b = flat.take(at, out=out[j], mode="clip")
+        at += move[j].take(b)
+        np.minimum(at, end, out=at)
+    return out
 
 
 def embed(strings: list[np.ndarray], n_steps: int, seed: int) -> np.ndarray:
-    """CGK embeddings [n, n_steps]: the walk copies a byte and moves on or stays by a random bit of (step, byte)."""
-    move = np.random.default_rng(seed).integers(0, 2, (n_steps, 256), dtype=np.uint8)
+    """CGK embeddings [n, n_steps] of byte strings."""
+    return walk(*_padded(strings), n_steps, seed).T
+
+
+def _padded(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lens = np.array([len(s) for s in strings], np.int64)
-    padded = np.zeros((len(strings), int(lens.max(initial=0)) + 1), np.uint8)
+    out = np.zeros((len(strings), int(lens.max(initial=0)) + 1), np.uint8)
     for i, s in enumerate(strings):
-        padded[i, : len(s)] = s
-    out = np.zeros((len(strings), n_steps), np.uint8)
-    at, rows = np.zeros(len(strings), np.int64), np.arange(len(strings))
-    for j in range(n_steps):
-        b = padded[rows, at]
-        out[:, j] = b
-        at = np.minimum(at + move[j, b], lens)
-    return out
+        out[i, : len(s)] = s
+    return out, lens
 
 
 def distance(pattern: bytes, text: bytes) -> int:
@@ -102,19 +119,45 @@ def distance(pattern: bytes, text: bytes) -> int:
     return best
 
 
+@dataclass
+class Band:
+    """LSH tables of the items of one size band."""
+
+    members: np.ndarray  # indexes into the items
+    coords: np.ndarray  # [tables, samples], steps of the walk
+    walks: np.ndarray  # walk of each table
+    n_steps: int
+    keys: np.ndarray  # [tables, items]
+    recall: float  # share of planted edits at the limit on which tables agree
+
+    def sampled(self, texts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """[tables, n] sampled coordinates, packed."""
+        out = np.empty((len(self.walks), len(lens)), np.uint32)
+        for w in np.unique(self.walks):
+            t = np.flatnonzero(self.walks == w)
+            out[t] = _packed(walk(texts, lens, self.n_steps, 1000 + int(w)), self.coords[t])
+        return out
+
+
+def _packed(walked: np.ndarray, coords: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(coords), walked.shape[1]), np.uint32)
+    for k in range(coords.shape[1]):
+        out = (out << np.uint32(8)) | walked[coords[:, k]]
+    return out
+
+
 @dataclass
 class Pieces:
-    """Disjoint pieces of ``size`` bytes of some items, listed by hash."""
+    """All substrings of ``size`` bytes of some items: ``table`` gives a piece's number, whose places are first..first + count."""
 
     size: int
-    items: np.ndarray
-    lens: np.ndarray
-    limits: np.ndarray
-    need: np.ndarray  # pieces that k edits leave whole
-    owner: np.ndarray  # index into items
-    at: np.ndarray
+    bits: int
+    seen: np.ndarray
+    table: Table
     first: np.ndarray
     count: np.ndarray
+    owner: np.ndarray  # index into the items
+    at: np.ndarray
 
 
 @dataclass
@@ -123,19 +166,19 @@ class Index:
 
     ids: list
     items: list[bytes]
+    lens: np.ndarray
     limits: np.ndarray
-    coords: np.ndarray  # [tables, SAMPLE], coordinates of the walk
-    walks: np.ndarray  # walk of each table
-    n_steps: int
-    samples: np.ndarray  # [items, tables, SAMPLE]
+    drift: np.ndarray  # shifts between pieces of one window
+    need: np.ndarray  # pieces that place a window
+    band: np.ndarray  # of each item, -1 for short ones
+    place: np.ndarray  # of each item in its band
+    bands: list[Band]
     pieces: list[Pieces]
-    recall: float
-    short: dict[int, int]
+    short: list[int]
 
-    def sampled(self, strings: list[np.ndarray]) -> np.ndarray:
-        """[strings, tables, SAMPLE] sampled coordinates."""
-        e = [embed(strings, self.n_steps, 1000 + int(w)) for w in range(int(self.walks.max(initial=0)) + 1)]
-        return np.stack([e[w][:, c] for w, c in zip(self.walks, self.coords, strict=True)], axis=1)
+    @property
+    def recall(self) -> float:
+        return min((b.recall for b in self.bands), default=1.0)
 
 
 def _edited(r: np.random.Generator, s: np.ndarray, k: int) -> np.ndarray:
@@ -152,9 +195,64 @@ def _edited(r: np.random.Generator, s: np.ndarray, k: int) -> np.ndarray:
     return np.frombuffer(bytes(b), np.uint8)
 
 
-def build(rows: list[tuple], similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 5) -> Index | None:
-    """Index of (id, text) rows; None without any item."""
+def _band(members: np.ndarray, arrays: list[np.ndarray], limits: np.ndarray, recall: float, seed: int) -> Band:
     r = np.random.default_rng(seed)
+    some = members if len(members) <= TRIED else r.permutation(members)[:TRIED]
+    some = np.repeat(some, TRIALS)
+    # sampled steps lie where the walk of the shortest item still reads bytes
+    n_steps = max(SAMPLE, min(SPAN, 3 * min(len(arrays[i]) for i in members) // 2))
+    # as many bytes of an item as a walk may read, with their share of the edits
+    head = [arrays[i][: 2 * n_steps] for i in some]
+    near = [_edited(r, h, -(-int(limits[i]) * len(h) // len(arrays[i]))) for h, i in zip(head, some, strict=True)]
+    whole, near = _padded(head), _padded(near)
+    a = [walk(*whole, n_steps, 1000 + w) for w in range(WALKS)]
+    b = [walk(*near, n_steps, 1000 + w) for w in range(WALKS)]
+    walks = np.arange(MAX_TABLES) % WALKS
+    for sample in range(SAMPLE, 0, -1):
+        coords = np.sort(r.integers(0, n_steps, (MAX_TABLES, sample)), axis=1)
+        found = np.zeros(len(some), bool)
+        for t in range(MAX_TABLES):
+            found |= (a[walks[t]][coords[t]] == b[walks[t]][coords[t]]).all(0)
+            if found.mean() >= recall and t + 1 >= WALKS:
+                # steps beyond the last sampled coordinate are never looked at
+                out = Band(members, coords[: t + 1], walks[: t + 1], int(coords[: t + 1].max()) + 1, np.zeros(0), float(found.mean()))
+                keys = [out.sampled(*_padded([arrays[i][:n_steps] for i in members[x : x + EMBEDDED]])) for x in range(0, len(members), EMBEDDED)]
+                out.keys = np.concatenate(keys, axis=1)
+                return out
+    raise ValueError(f"recall {recall} is out of reach: {MAX_TABLES} tables of one coordinate agree on {found.mean()}")
+
+
+def _hashes(text: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of all substrings of ``size`` (at most 12) bytes; equal for equal ones and, up to 8 bytes, only for them."""
+    n = len(text) - size + 1
+    padded = np.zeros(len(text) + 8, np.uint8)
+    padded[: len(text)] = text
+    word = np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))
+    if size >= 8:
+        return word[:n] if size == 8 else word[:n] ^ (word[size - 8 : size - 8 + n] * np.uint64(0x9E3779B97F4A7C15))
+    return word[:n] << np.uint64(64 - 8 * size)
+
+
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _pieces(size: int, members: np.ndarray, arrays: list[np.ndarray]) -> Pieces:
+    n = np.array([len(arrays[i]) - size + 1 for i in members])
+    owner, at = np.repeat(members, n), arrowbytes.ragged(np.zeros(len(n), np.int64), n)
+    h = np.concatenate([_hashes(arrays[i], size) for i in members])
+    order = np.argsort(h, kind="stable")
+    known, first, count = np.unique(h[order], return_index=True, return_counts=True)
+    bits = min(26, max(16, int(16 * len(known)).bit_length()))
+    seen = np.zeros(1 << bits, bool)
+    seen[_slot(known, bits)] = True
+    table = Table()
+    table.put(known, np.arange(len(known), dtype=np.int32))
+    return Pieces(size, bits, seen, table, first, count, owner[order].astype(np.int32), at[order].astype(np.int32))
+
+
+def build(rows: list[tuple], similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 5) -> Index | None:
+    """Index of (id, text) rows; None without any item.  ``recall`` is the aim of the tables."""
     ids, items = [], []
     for i, t in rows:
         raw = np.frombuffer((t or "").encode(), np.uint8)
@@ -165,179 +263,111 @@ def build(rows: list[tuple], similarity: float = SIMILARITY, recall: float = REC
     if not items:
         return None
     arrays = [np.frombuffer(s, np.uint8) for s in items]
-    limits = np.array([int((1 - similarity) * len(s) + 1e-9) for s in items])  # 1 - 0.8 is a little under 0.2
-    n_steps = STEPS_PER_BYTE * max(map(len, items))
-    # sampled coordinates lie where the walk of the shortest item still reads bytes
-    span = np.maximum(1, np.array([2 * len(s) for s in items]))
-    limit = int(np.quantile(span, 0.05))
-    some = r.permutation(len(items))[:200]
-    n_walks = 8
-    coords = np.sort(r.integers(0, max(limit, SAMPLE), (MAX_TABLES, SAMPLE)), axis=1)
-    walks = np.arange(MAX_TABLES) % n_walks
-    near = [_edited(r, arrays[i], int(limits[i])) for i in some]
-    a = [embed([arrays[i] for i in some], n_steps, 1000 + w) for w in range(n_walks)]
-    b = [embed(near, n_steps, 1000 + w) for w in range(n_walks)]
-    found, tables = np.zeros(len(some), bool), MAX_TABLES
-    for t in range(MAX_TABLES):
-        found |= (a[walks[t]][:, coords[t]] == b[walks[t]][:, coords[t]]).all(1)
-        if found.mean() >= recall and t + 1 >= n_walks:
-            tables = t + 1
-            break
-    # steps beyond the last sampled coordinate are never looked at
-    index = Index(ids, items, limits, coords[:tables], walks[:tables], int(coords[:tables].max()) + 1, np.zeros(0), [], float(found.mean()), {})
-    index.samples = np.concatenate([index.sampled(arrays[a : a + 4096]) for a in range(0, len(arrays), 4096)])
-    sizes: dict[int, list[int]] = {}
-    for i, s in enumerate(arrays):
-        if len(s) >= SEED:
-            k = int(limits[i])
-            sizes.setdefault(PIECE if len(s) // PIECE > k else max(1, len(s) // (k + 1)), []).append(i)
-        else:
-            index.short[i] = len(s)
-    index.pieces = [_pieces(q, np.array(m), arrays, limits) for q, m in sorted(sizes.items())]
+    lens = np.array([len(s) for s in items])
+    limits = ((1 - similarity) * lens + 1e-9).astype(np.int64)  # 1 - 0.8 is a little under 0.2
+    long = lens >= SEED
+    level = np.where(long, np.log2(lens).astype(np.int64), -1)
+    index = Index(ids, items, lens, limits, np.minimum(limits, 12 + limits // 4) + 1, np.zeros(0), np.full(len(items), -1), np.zeros(len(items), np.int64), [], [], np.flatnonzero(~long).tolist())
+    for k, b in enumerate(np.unique(level[long])):
+        members = np.flatnonzero(level == b)
+        index.band[members], index.place[members] = k, np.arange(len(members))
+        index.bands.append(_band(members, arrays, limits, recall, seed))
+    size = np.full(len(items), SIZES[0])
+    for q in SIZES[1:]:
+        size[lens * (1 - similarity) * similarity**q >= RUNS] = q
+    # pieces that edits at the limit leave whole, on average
+    index.need = np.maximum(2, (SHARE * lens * similarity**size).astype(np.int64))
+    index.pieces = [_pieces(int(q), np.flatnonzero(long & (size == q)), arrays) for q in np.unique(size[long])]
     return index
 
 
-def _bucket(text: np.ndarray, size: int) -> np.ndarray:
-    """Table place of the ``size`` bytes (4 at most) at each position."""
-    n = len(text) - size + 1
-    code = np.zeros(n, np.uint32)
-    for b in range(size):
-        code |= text[b : b + n].astype(np.uint32) << np.uint32(8 * b)
-    return (code * np.uint32(2654435761)) >> np.uint32(32 - PIECE_BITS)
+def _hits(p: Pieces, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, item, offset) of every piece that stands in ``text``."""
+    if len(text) < p.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    h = _hashes(text, p.size)
+    pos = np.flatnonzero(p.seen[_slot(h, p.bits)])
+    number = p.table.get(h[pos])
+    pos, number = pos[number >= 0], number[number >= 0]
+    k = p.count[number]
+    g = arrowbytes.ragged(p.first[number], k)
+    return np.repeat(pos, k), p.owner[g], p.at[g]
 
 
-def _pieces(size: int, members: np.ndarray, arrays: list[np.ndarray], limits: np.ndarray) -> Pieces:
-    lens = np.array([len(arrays[i]) for i in members])
-    n = lens // size
-    owner, at = np.repeat(np.arange(len(members)), n), arrowbytes.ragged(np.zeros(len(n), np.int64), n) * size
-    h = np.concatenate([_bucket(arrays[i], size)[::size][:c] for i, c in zip(members, n, strict=True)])
-    order = np.argsort(h, kind="stable")
-    count = np.bincount(h, minlength=1 << PIECE_BITS)
-    return Pieces(size, members, lens, limits[members], n - limits[members], owner[order], at[order].astype(np.int32), (np.cumsum(count) - count).astype(np.int32), count.astype(np.int32))
-
-
-def _in_order(at: list[int], pos: list[int]) -> int:
-    """Most pieces that stand in order: rising offsets ``at`` at rising positions."""
-    tails: list[int] = []
-    for _, p in sorted(zip(at, (-p for p in pos), strict=True)):
-        k = bisect_left(tails, -p)
-        tails[k : k + 1] = [-p]
-    return len(tails)
-
-
-def _places(p: Pieces, text: np.ndarray):
-    """(item, least, largest shift) wherever as many pieces of an item stand in order as its limit leaves whole."""
-    n, pad = len(text), int(p.lens.max())
-    if n < p.size:
-        return
-    # buckets of shifts: a spread of k touches PARTS + 1 neighbouring ones at most
-    scale = (1 << 14) // -(-(p.limits + 1) // PARTS)
-    size = ((n + pad) * scale >> 14) + 2 + PARTS
-    base = np.cumsum(size) - size
-    c = _bucket(text, p.size)
-    k = p.count[c]
-    hit = np.flatnonzero(k)
-    k = k[hit]
-    ends = np.cumsum(k)
-    if not len(ends):
-        return
-    g = np.arange(ends[-1], dtype=np.int32) + np.repeat((p.first[c[hit]] - (ends - k)).astype(np.int32), k)
-    shift = np.repeat((hit + pad).astype(np.int32), k) - p.at[g]
-    kind = np.int32 if max((n + pad) * int(scale.max()), int(size.sum())) < 1 << 31 else np.int64
-    key = (shift.astype(kind, copy=False) * scale.astype(kind)[p.owner][g] >> 14) + base.astype(kind)[p.owner][g]
-    total = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=int(size.sum())))])
-    band = np.flatnonzero(total[PARTS + 1 :] - total[: -PARTS - 1] >= np.repeat(p.need, size)[:-PARTS])
-    if not len(band):
-        return
-    mark = np.bincount(band, minlength=len(total)) - np.bincount(band + PARTS + 1, minlength=len(total))
-    keep = np.flatnonzero((np.cumsum(mark) > 0)[key])
-    g, shift = g[keep], shift[keep].astype(np.int64)
-    own, at = p.owner[g], p.at[g].astype(np.int64)
-    # overlapping bands of 2 (k + 1) shifts: some one holds any spread of k; distinct pieces are counted in each
-    wide = p.limits + 1
-    size = (n + pad) // wide + 3
-    base = np.cumsum(size) - size
-    window = base[own] + shift // wide[own] + 1
-    each = int(p.lens.max()) // p.size + 1
-    u = np.unique(np.concatenate([window, window - 1]) * each + np.tile(at // p.size, 2))
-    enough = np.bincount(u // each, minlength=int(size.sum())) >= np.repeat(p.need, size)
-    rows = np.concatenate([np.flatnonzero(enough[window]), np.flatnonzero(enough[window - 1])])
-    w = np.concatenate([window[enough[window]], window[enough[window - 1]] - 1])
-    order = np.argsort(w, kind="stable")
-    w, rows = w[order], rows[order]
-    cuts = np.flatnonzero(np.diff(w, prepend=-1, append=-1)) if len(w) else np.zeros(1, np.int64)
-    at, place = at[rows], shift[rows] - pad
-    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        i = own[rows[a]]
-        if _in_order(at[a:z].tolist(), (place[a:z] + at[a:z]).tolist()) >= p.need[i]:
-            yield int(p.items[i]), int(place[a:z].min()), int(place[a:z].max())
-
-
-def _windows(index: Index, text: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(row, item, low, high): parts of texts that hold every match within an item's limit, sorted."""
-    out = set()
+def _windows(index: Index, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, start, a position inside) of windows: NEED pieces of an item or more agree on its start."""
+    found = []
     for p in index.pieces:
-        more = 2 * int(p.lens.max())
+        more = 2 * int(index.lens[p.owner].max(initial=0))
         step = max(CHUNK, more)
         for a in range(0, len(text), step):
-            for i, least, most in _places(p, text[a : a + step + more]):
-                n, lim = len(index.items[i]), int(index.limits[i])
-                low, high = max(0, a + least - lim), min(len(text), a + most + n + lim)
-                for r in range(int(np.searchsorted(off, low, side="right")) - 1, int(np.searchsorted(off, high, side="left"))):
-                    x, y = max(low, int(off[r])), min(high, int(off[r + 1]))
-                    if y - x >= n - lim:
-                        out.add((r, i, x, y))
-    return sorted(out)
-
-
-def _agreed(index: Index, text: np.ndarray, win: list[tuple[int, int, int, int]]) -> list[bool]:
+            pos, item, at = _hits(p, text[a : a + step + more])
+            shift = pos - at + 2 * more
+            wide = index.drift[item]
+            key = shift // wide
+            # any two pieces within the drift share a bucket of key // 2 or of (key + 1) // 2
+            low = item.astype(np.int64) * (step + 4 * more)
+            even, odd = low + (key >> 1), low + ((key + 1) >> 1)
+            bits = np.uint64(64 - max(12, int(4 * len(pos)).bit_length()))
+            for bucket in (even, odd):
+                # a cheap count that may only be too high, then the exact one
+                slot = ((bucket.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> bits).astype(np.int64)
+                keep = np.flatnonzero(np.bincount(slot)[slot] >= index.need[item]) if len(slot) else np.zeros(0, np.int64)
+                if not len(keep):
+                    continue
+                order = keep[np.lexsort((at[keep], bucket[keep]))]
+                first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                n = np.diff(np.append(first, len(order)))
+                w = order[first[n >= index.need[item[order[first]]]]]
+                found.append((item[w].astype(np.int64), shift[w] - 2 * more + a, pos[w] + a))
+    if not found:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    w = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)]), axis=1)
+    return w[0], w[1], w[2]
+
+
+def _agreed(index: Index, text: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Whether any table agrees on a window and its item."""
-    out: list[bool] = []
-    for s in range(0, len(win), 4096):
-        part = win[s : s + 4096]
-        cuts = [text[min(low + int(index.limits[i]), high - 1) : high][: len(index.items[i])] for _, i, low, high in part]
-        out += (index.sampled(cuts) == index.samples[[i for _, i, _, _ in part]]).all(2).any(1).tolist()
+    out = np.zeros(len(item), bool)
+    for k, band in enumerate(index.bands):
+        mine = np.flatnonzero(index.band[item] == k)
+        for x in range(0, len(mine), EMBEDDED):
+            w = mine[x : x + EMBEDDED]
+            lens = np.minimum(high[w] - low[w], band.n_steps)  # a walk reads a byte a step at most
+            width = int(lens.max()) + 1
+            at = low[w][:, None] + np.arange(width)
+            cut = np.where(np.arange(width) < lens[:, None], text[np.minimum(at, len(text) - 1)], 0).astype(np.uint8)
+            out[w] = (band.sampled(cut, lens) == band.keys[:, index.place[item[w]]]).any(0)
     return out
 
 
-def _excluded(item: bytes, text: bytes, limit: int) -> bool:
-    """Whether too few pieces of ``item``, cut two bytes in, stand in order in ``text``."""
-    need = (len(item) - 2) // PIECE - limit
-    if need < 1:
-        return False
-    at, pos = [], []
-    for a in range(2, len(item) - PIECE + 1, PIECE):
-        piece = item[a : a + PIECE]
-        p = text.find(piece)
-        while p >= 0:
-            at.append(a)
-            pos.append(p)
-            p = text.find(piece, p + 1)
-    return len(set(at)) < need or _in_order(at, pos) < need
-
-
 def _search(index: Index, text: np.ndarray, off: np.ndarray) -> dict[tuple[int, int], int]:
     """(row, item) -> edit distance, within the item's limit."""
     best: dict[tuple[int, int], int] = {}
     around: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    win = _windows(index, text, off)
-    agreed = _agreed(index, text, win)
-    for (r, i, low, high), sure in zip(win, agreed, strict=True):
-        if not sure and _excluded(index.items[i], text[low:high].tobytes(), int(index.limits[i])):
-            continue
+    item, start, inside = _windows(index, text)
+    row = np.searchsorted(off, inside, side="right") - 1
+    first, last, n, lim = off[row], off[row + 1], index.lens[item], index.limits[item]
+    low, high = np.maximum(start, first), np.minimum(start + n, last)
+    fits = np.flatnonzero(high - low >= n - lim - index.drift[item])
+    sure = fits[_agreed(index, text, item[fits], low[fits], high[fits])]
+    more = lim + index.drift[item]
+    low, high = np.maximum(start - more, first), np.minimum(start + n + more, last)
+    for r, i, x, y in sorted(zip(row[sure].tolist(), item[sure].tolist(), low[sure].tolist(), high[sure].tolist(), strict=True)):
         spans = around.setdefault((r, i), [])
-        if spans and low <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(high, spans[-1][1]))
+        if spans and x <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(y, spans[-1][1]))
         else:
-            spans.append((low, high))
+            spans.append((x, y))
     for (r, i), spans in around.items():
-        for low, high in spans:
-            d = distance(index.items[i], text[low:high].tobytes())
+        for x, y in spans:
+            d = distance(index.items[i], text[x:y].tobytes())
             if d <= index.limits[i] and d < best.get((r, i), 1 << 60):
                 best[r, i] = d
+    whole = text.tobytes() if index.short else b""
     for i in index.short:
         item = index.items[i]
-        whole = text.tobytes()
         at = whole.find(item)
         while at >= 0:
             r = int(np.searchsorted(off, at, side="right")) - 1
@@ -351,7 +381,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     """doc_id, item_id, distance: items found in documents, each pair once with the smallest distance."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL").distinct()
-    n_blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    n_blocks = max(1, -(-(items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0) // BLOCK_BYTES))
     out = None
     for k in range(n_blocks):
         block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k)
