@@ -11,13 +11,20 @@ Candidates are verified by exact approximate matching (Myers' bit vectors)
 of the item in the window's surroundings.
 
 Embedding a window at every byte would cost thousands of steps a byte, so
-windows are placed where short pieces of an item stand: all its substrings of q
-bytes, q being the largest of SIZES that edits at the limit leave RUNS whole
-runs of on average.  A window is placed where NEED such pieces or more agree on
-the item's start up to a drift of shifts, and starts where the first of them
-says.  Edits that are spread evenly (one in every fifth byte) leave no such
-piece at the limit itself and are not found there; the recall that is stated and
-tested is for edits at random places, through the whole search.
+windows are placed by a bound that no match within the limit k escapes.  An item
+is cut into disjoint pieces of PIECE bytes; x0 of them stay whole under the
+edits, x1 get one edit, the others two or more, so 2 * x0 + x1 is at least
+2 * pieces - k, and the text places of these pieces are shifted against each
+other by k bytes at most.  Pieces with at most one edit are found by hash: whole,
+with one byte masked, with one byte of the text left out, or with one byte of
+the piece left out.  A window is placed where the pieces of an item reach that
+sum within a band of shifts, each piece counted once.  Items too short for
+that bound are cut into more than k pieces, one of which stays whole.
+
+A placed window names its item; if any table agrees the two are a candidate,
+else they become one unless the bound excludes them on pieces cut half a piece
+later as well.  So neither placing nor sampling loses a match; ``recall`` of the
+index is the share of planted edits at the limit on which tables agree.
 
 Items are held in blocks of BLOCK_BYTES, one pass over the texts a block, so
 what is broadcast has a fixed bound whatever the benchmark's size.
@@ -29,6 +36,7 @@ once with the smallest distance; a null doc or item id is reported as null.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,17 +45,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm import arrowbytes
-from geoloom.llm.hashing import Table, mix
+from geoloom.llm.hashing import Table
 
 SIMILARITY, RECALL = 0.8, 0.99
 #: Shortest item that may match with edits, coordinates a table at most, tables a band at most, walks, steps looked at.
 SEED, SAMPLE, MAX_TABLES, WALKS, SPAN = 16, 4, 512, 8, 192
-#: Piece sizes, whole runs that the limit's edits must leave on average, pieces that place a window.
-SIZES, RUNS, SHARE = (3, 4, 5, 6, 8, 10, 12), 5, 0.33
+#: Bytes of a piece that may have one edit, and shortest item that is cut into such pieces.
+PIECE, CUT = 8, 32
 #: Bytes of text looked at at once, edited copies of each item for choosing tables, items of a band used for it.
-CHUNK, TRIALS, TRIED = 1 << 18, 4, 400
+CHUNK, TRIALS, TRIED = 1 << 17, 4, 400
 #: Bytes of items in one block, and windows embedded at once.
-BLOCK_BYTES, EMBEDDED = 4 << 20, 4096
+BLOCK_BYTES, EMBEDDED = 1 << 20, 4096
 
 _LOW = bytes(range(9)) + b" " * 5 + bytes(range(14, 65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -147,17 +155,39 @@ def _packed(walked: np.ndarray, coords: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Pieces:
-    """All substrings of ``size`` bytes of some items: ``table`` gives a piece's number, whose places are first..first + count."""
+class Keys:
+    """Hash index from keys to pieces: ``table`` gives a key's number, whose pieces are first..first + count of ``owner``."""
 
-    size: int
     bits: int
     seen: np.ndarray
     table: Table
     first: np.ndarray
     count: np.ndarray
+    owner: np.ndarray
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the key, piece) of all hits."""
+        slot = (keys * _SPREAD) >> np.uint64(64 - self.bits)
+        pos = np.flatnonzero(self.seen[slot.view(np.int64)])
+        number = self.table.get(keys[pos])
+        known = number >= 0
+        pos, number = pos[known], number[known]
+        k = self.count[number]
+        return np.repeat(pos, k), self.owner[arrowbytes.ragged(self.first[number], k)]
+
+
+@dataclass
+class Pieces:
+    """Disjoint pieces of ``size`` bytes of some items."""
+
+    size: int
     owner: np.ndarray  # index into the items
     at: np.ndarray
+    value: np.ndarray
+    whole: Keys
+    masked: list[Keys]  # by the byte that is masked; empty for pieces that must stay whole
+    shorter: Keys | None  # one byte left out
+    longest: int
 
 
 @dataclass
@@ -168,8 +198,7 @@ class Index:
     items: list[bytes]
     lens: np.ndarray
     limits: np.ndarray
-    drift: np.ndarray  # shifts between pieces of one window
-    need: np.ndarray  # pieces that place a window
+    need: np.ndarray  # sum that places a window
     band: np.ndarray  # of each item, -1 for short ones
     place: np.ndarray  # of each item in its band
     bands: list[Band]
@@ -222,33 +251,42 @@ def _band(members: np.ndarray, arrays: list[np.ndarray], limits: np.ndarray, rec
     raise ValueError(f"recall {recall} is out of reach: {MAX_TABLES} tables of one coordinate agree on {found.mean()}")
 
 
-def _hashes(text: np.ndarray, size: int) -> np.ndarray:
-    """Numbers of all substrings of ``size`` (at most 12) bytes; equal for equal ones and, up to 8 bytes, only for them."""
-    n = len(text) - size + 1
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: _FIRST[i] keeps the first i bytes of a word.
+_FIRST = [np.uint64((1 << 8 * i) - 1) for i in range(9)]
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, zeros after the end."""
     padded = np.zeros(len(text) + 8, np.uint8)
     padded[: len(text)] = text
-    word = np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))
-    if size >= 8:
-        return word[:n] if size == 8 else word[:n] ^ (word[size - 8 : size - 8 + n] * np.uint64(0x9E3779B97F4A7C15))
-    return word[:n] << np.uint64(64 - 8 * size)
+    return np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,)).copy()
 
 
-def _slot(h: np.ndarray, bits: int) -> np.ndarray:
-    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
+def _left_out(word: np.ndarray, after: np.ndarray, i: int) -> np.ndarray:
+    """The word with byte i left out, ``after`` being the word one byte later."""
+    return after ^ ((word ^ after) & _FIRST[i])
 
 
-def _pieces(size: int, members: np.ndarray, arrays: list[np.ndarray]) -> Pieces:
-    n = np.array([len(arrays[i]) - size + 1 for i in members])
-    owner, at = np.repeat(members, n), arrowbytes.ragged(np.zeros(len(n), np.int64), n)
-    h = np.concatenate([_hashes(arrays[i], size) for i in members])
-    order = np.argsort(h, kind="stable")
-    known, first, count = np.unique(h[order], return_index=True, return_counts=True)
-    bits = min(26, max(16, int(16 * len(known)).bit_length()))
+def _keys(values: np.ndarray, owner: np.ndarray) -> Keys:
+    order = np.argsort(values, kind="stable")
+    known, first, count = np.unique(values[order], return_index=True, return_counts=True)
+    bits = min(22, max(16, int(40 * len(known)).bit_length()))
     seen = np.zeros(1 << bits, bool)
-    seen[_slot(known, bits)] = True
+    seen[((known * _SPREAD) >> np.uint64(64 - bits)).view(np.int64)] = True
     table = Table()
     table.put(known, np.arange(len(known), dtype=np.int32))
-    return Pieces(size, bits, seen, table, first, count, owner[order].astype(np.int32), at[order].astype(np.int32))
+    return Keys(bits, seen, table, first, count, owner[order].astype(np.int32))
+
+
+def _pieces(size: int, members: np.ndarray, arrays: list[np.ndarray], edits: bool) -> Pieces:
+    n = np.array([len(arrays[i]) // size for i in members])
+    owner, at = np.repeat(members, n), arrowbytes.ragged(np.zeros(len(n), np.int64), n) * size
+    value = np.concatenate([_words(arrays[i])[: c * size : size] for i, c in zip(members, n, strict=True)]) & _FIRST[size]
+    number = np.arange(len(value))
+    masked = [_keys(value & ~(_FIRST[i + 1] ^ _FIRST[i]), number) for i in range(size)] if edits else []
+    shorter = _keys(np.concatenate([_left_out(value, value >> np.uint64(8), i) for i in range(size)]), np.tile(number, size)) if edits else None
+    return Pieces(size, owner, at, value, _keys(value, number), masked, shorter, max(len(arrays[i]) for i in members))
 
 
 def build(rows: list[tuple], similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 5) -> Index | None:
@@ -267,64 +305,80 @@ def build(rows: list[tuple], similarity: float = SIMILARITY, recall: float = REC
     limits = ((1 - similarity) * lens + 1e-9).astype(np.int64)  # 1 - 0.8 is a little under 0.2
     long = lens >= SEED
     level = np.where(long, np.log2(lens).astype(np.int64), -1)
-    index = Index(ids, items, lens, limits, np.minimum(limits, 12 + limits // 4) + 1, np.zeros(0), np.full(len(items), -1), np.zeros(len(items), np.int64), [], [], np.flatnonzero(~long).tolist())
+    index = Index(ids, items, lens, limits, np.zeros(len(items), np.int64), np.full(len(items), -1), np.zeros(len(items), np.int64), [], [], np.flatnonzero(~long).tolist())
     for k, b in enumerate(np.unique(level[long])):
         members = np.flatnonzero(level == b)
         index.band[members], index.place[members] = k, np.arange(len(members))
         index.bands.append(_band(members, arrays, limits, recall, seed))
-    size = np.full(len(items), SIZES[0])
-    for q in SIZES[1:]:
-        size[lens * (1 - similarity) * similarity**q >= RUNS] = q
-    # pieces that edits at the limit leave whole, on average
-    index.need = np.maximum(2, (SHARE * lens * similarity**size).astype(np.int64))
-    index.pieces = [_pieces(int(q), np.flatnonzero(long & (size == q)), arrays) for q in np.unique(size[long])]
+    for size, members in sorted(_sizes(lens, limits).items()):
+        index.need[members] = (2 * (lens // size) if size == PIECE else lens // size)[members] - limits[members]
+        index.pieces.append(_pieces(size, np.array(members), arrays, size == PIECE))
     return index
 
 
-def _hits(p: Pieces, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, item, offset) of every piece that stands in ``text``."""
-    if len(text) < p.size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    h = _hashes(text, p.size)
-    pos = np.flatnonzero(p.seen[_slot(h, p.bits)])
-    number = p.table.get(h[pos])
-    pos, number = pos[number >= 0], number[number >= 0]
-    k = p.count[number]
-    g = arrowbytes.ragged(p.first[number], k)
-    return np.repeat(pos, k), p.owner[g], p.at[g]
+def _sizes(lens: np.ndarray, limits: np.ndarray) -> dict[int, list[int]]:
+    """Items by the size of their pieces: PIECE, or else so small that more pieces than the limit fit (at most 7 bytes)."""
+    out: dict[int, list[int]] = {}
+    for i, (n, k) in enumerate(zip(lens.tolist(), limits.tolist(), strict=True)):
+        if n >= SEED:
+            out.setdefault(PIECE if n >= CUT and 2 * (n // PIECE) > k else max(1, min(PIECE - 1, n // (k + 1))), []).append(i)
+    return out
 
 
-def _windows(index: Index, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, start, a position inside) of windows: NEED pieces of an item or more agree on its start."""
+def _hits(p: Pieces, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, piece) of every piece that stands in ``text``; whole ones twice where one edit is allowed, so that hits add up to the bound's sum."""
+    if len(text) < p.size - 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    word = _words(text)[: len(text) - p.size + 2]
+    found = [p.whole.find(word[: len(text) - p.size + 1] & _FIRST[p.size])]
+    if p.masked:
+        found.append(found[0])
+        after = np.append(word[1:], np.uint64(0))
+        for i, keys in enumerate(p.masked):
+            pos, piece = keys.find(word & ~(_FIRST[i + 1] ^ _FIRST[i]))
+            other = word[pos] != p.value[piece]
+            found.append((pos[other], piece[other]))
+        for i in range(1, p.size):
+            found.append(p.whole.find(_left_out(word, after, i)))
+        found.append(p.shorter.find(word & _FIRST[p.size - 1]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _windows(index: Index, text: np.ndarray) -> np.ndarray:
+    """Rows (item, start, least and largest shift, a position inside) where an item's pieces reach its sum in a band of shifts."""
     found = []
     for p in index.pieces:
-        more = 2 * int(index.lens[p.owner].max(initial=0))
+        more = 2 * p.longest
         step = max(CHUNK, more)
+        each = p.longest // p.size + 1
         for a in range(0, len(text), step):
-            pos, item, at = _hits(p, text[a : a + step + more])
+            pos, piece = _hits(p, text[a : a + step + more])
+            if not len(pos):
+                continue
+            item, at = p.owner[piece], p.at[piece]
             shift = pos - at + 2 * more
-            wide = index.drift[item]
-            key = shift // wide
-            # any two pieces within the drift share a bucket of key // 2 or of (key + 1) // 2
-            low = item.astype(np.int64) * (step + 4 * more)
-            even, odd = low + (key >> 1), low + ((key + 1) >> 1)
+            key = shift // (index.limits[item] + 1)
+            # any two shifts within the limit share a bucket of key // 2 or of (key + 1) // 2
+            low = item * (step + 4 * more)
             bits = np.uint64(64 - max(12, int(4 * len(pos)).bit_length()))
-            for bucket in (even, odd):
-                # a cheap count that may only be too high, then the exact one
-                slot = ((bucket.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> bits).astype(np.int64)
-                keep = np.flatnonzero(np.bincount(slot)[slot] >= index.need[item]) if len(slot) else np.zeros(0, np.int64)
+            for bucket in (low + (key >> 1), low + ((key + 1) >> 1)):
+                # a cheap count that may only be too high, then each piece once: 2 if whole, else 1
+                slot = ((bucket.view(np.uint64) * _SPREAD) >> bits).view(np.int64)
+                keep = np.flatnonzero(np.bincount(slot)[slot] >= index.need[item])
                 if not len(keep):
                     continue
-                order = keep[np.lexsort((at[keep], bucket[keep]))]
-                first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                n = np.diff(np.append(first, len(order)))
-                w = order[first[n >= index.need[item[order[first]]]]]
-                found.append((item[w].astype(np.int64), shift[w] - 2 * more + a, pos[w] + a))
-    if not found:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    w = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)]), axis=1)
-    return w[0], w[1], w[2]
+                order = keep[np.lexsort((pos[keep], at[keep], bucket[keep]))]
+                b, part, place = bucket[order], at[order] // p.size, pos[order]
+                new = np.diff(b * each + part, prepend=-1) != 0
+                twice = np.append((np.diff(place) == 0) & ~new[1:], False) if p.masked else np.zeros(len(order), bool)
+                group = np.cumsum(np.diff(b, prepend=-1) != 0) - 1
+                total = np.bincount(group[new])
+                total += np.bincount(group[new], np.logical_or.reduceat(twice, np.flatnonzero(new))).astype(np.int64)
+                first = np.flatnonzero(np.diff(b, prepend=-1))
+                s = shift[order] - 2 * more + a
+                good = np.flatnonzero(total >= index.need[item[order[first]]])
+                found.append(np.stack([item[order[first]], s[first], np.minimum.reduceat(s, first), np.maximum.reduceat(s, first), place[first] + a])[:, good])
+    return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((5, 0), np.int64)
 
 
 def _agreed(index: Index, text: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -342,19 +396,43 @@ def _agreed(index: Index, text: np.ndarray, item: np.ndarray, low: np.ndarray, h
     return out
 
 
+def _in_order(at: list[int], pos: list[int]) -> int:
+    """Most pieces that stand in order: rising offsets ``at`` at rising positions."""
+    tails: list[int] = []
+    for _, p in sorted(zip(at, (-p for p in pos), strict=True)):
+        k = bisect_left(tails, -p)
+        tails[k : k + 1] = [-p]
+    return len(tails)
+
+
+def _excluded(item: bytes, text: bytes, limit: int) -> bool:
+    """Whether too few pieces of ``item``, cut two bytes in, stand in order in ``text``."""
+    need = (len(item) - 2) // PIECE - limit
+    if need < 1:
+        return False
+    at, pos = [], []
+    for a in range(2, len(item) - PIECE + 1, PIECE):
+        piece = item[a : a + PIECE]
+        p = text.find(piece)
+        while p >= 0:
+            at.append(a)
+            pos.append(p)
+            p = text.find(piece, p + 1)
+    return len(set(at)) < need or _in_order(at, pos) < need
+
+
 def _search(index: Index, text: np.ndarray, off: np.ndarray) -> dict[tuple[int, int], int]:
     """(row, item) -> edit distance, within the item's limit."""
     best: dict[tuple[int, int], int] = {}
     around: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    item, start, inside = _windows(index, text)
+    item, start, least, most, inside = _windows(index, text)
     row = np.searchsorted(off, inside, side="right") - 1
     first, last, n, lim = off[row], off[row + 1], index.lens[item], index.limits[item]
-    low, high = np.maximum(start, first), np.minimum(start + n, last)
-    fits = np.flatnonzero(high - low >= n - lim - index.drift[item])
-    sure = fits[_agreed(index, text, item[fits], low[fits], high[fits])]
-    more = lim + index.drift[item]
-    low, high = np.maximum(start - more, first), np.minimum(start + n + more, last)
-    for r, i, x, y in sorted(zip(row[sure].tolist(), item[sure].tolist(), low[sure].tolist(), high[sure].tolist(), strict=True)):
+    agreed = _agreed(index, text, item, np.maximum(start, first), np.minimum(np.maximum(start, first) + n, last))
+    low, high = np.maximum(least - lim, first), np.minimum(most + n + lim, last)
+    for r, i, x, y, sure in sorted(zip(row.tolist(), item.tolist(), low.tolist(), high.tolist(), agreed.tolist(), strict=True)):
+        if y - x < len(index.items[i]) - index.limits[i] or not sure and _excluded(index.items[i], text[x:y].tobytes(), int(index.limits[i])):
+            continue
         spans = around.setdefault((r, i), [])
         if spans and x <= spans[-1][1]:
             spans[-1] = (spans[-1][0], max(y, spans[-1][1]))

@@ -179,7 +179,7 @@ def test_decontaminate(spark, docs, odd_texts, empty):
 def test_blocks_of_items(spark, docs, odd_texts, monkeypatch):
     bench = spark.createDataFrame([(k, t[:150]) for k, t in enumerate(odd_texts[60:66])], "item_id long, text string")
     one = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()), key=repr)
-    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 2)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)
     assert one and sorted(map(tuple, decontaminate.leaks(docs, bench).collect()), key=repr) == one
 
 
@@ -203,6 +203,36 @@ def test_edits_up_to_the_limit_are_all_found(spark, even):
     assert {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaks(docs, bench).collect()} == want
 
 
+@pytest.mark.parametrize("percent", [5, 10, 15, 20])
+def test_search_finds_planted_edits(percent):
+    """Bytes replaced, put in and left out at random places of items of many sizes: every match that brute force finds, at its distance."""
+    r, words = np.random.default_rng(percent), [bytes(w) for w in np.random.default_rng(4).integers(97, 123, (90, 6), dtype=np.uint8)]
+    prose = lambda n: b" ".join(words[k] for k in r.integers(0, 90, n))
+    items = [prose(60)[: int(n)].strip() for n in [*range(16, 60, 3), *r.integers(60, 400, 15)]]
+    index = decontaminate.build([(k, t.decode()) for k, t in enumerate(items)])
+    assert index.recall >= decontaminate.RECALL
+    texts = []
+    for t in items:
+        a = np.frombuffer(t, np.uint8)
+        for _ in range(3):
+            texts.append(prose(9) + b" " + decontaminate._edited(r, a, percent * len(a) // 100).tobytes() + b" " + prose(7))
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = decontaminate._search(index, np.frombuffer(b"".join(texts), np.uint8), off)
+    want = {(j, i): d for j, t in enumerate(texts) for i, p in enumerate(items) if (d := decontaminate.distance(p, t)) <= index.limits[i]}
+    assert len(want) >= 85 and got == want
+
+
+def test_long_item(spark):
+    """An item of many thousand bytes among short ones."""
+    r = np.random.default_rng(8)
+    long = bytes(r.integers(97, 123, 30_000, dtype=np.uint8))
+    edited = decontaminate._edited(r, np.frombuffer(long, np.uint8), 900).tobytes()
+    docs = spark.createDataFrame([(1, f"before {edited.decode()} after"), (2, "a line of forty bytes that has no secret"), (3, "nothing")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, long.decode()), (8, "A line of forty bytes that hxs no secret")], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.distance for x in decontaminate.leaks(docs, bench).collect()}
+    assert set(got) == {(1, 7), (2, 8)} and got[2, 8] == 1 and 0 < got[1, 7] <= 900
+
+
 def test_jaccard_table_with_itself(spark):
     """Every row twice: pairs of near copies stay linked."""
     rows = []
