@@ -37,7 +37,7 @@ FILE_TOKENS, READ_TASKS = 8 << 20, 20_000
 #: Bytes of text worked on at once, and bytes of segments given to the library as one text.
 SLICE_BYTES, JOINED = 1 << 20, 1 << 14
 #: Distinct segments whose ids a worker remembers before it starts anew.
-MEMORY = 1_500_000
+MEMORY = 400_000
 
 
 def _classes() -> np.ndarray:
