@@ -283,21 +283,36 @@ _ENTITIES = (("nbsp", " "), ("amp", "&"), ("apos", "'"), ("quot", '"'), ("lt", "
 
 
 def html_text(x: Column) -> Column:
-    """Text of a piece of HTML: tags become spaces, entities their characters.
+    """Text of a piece of HTML: tags become spaces, entities their characters, decimal and hexadecimal ones included.
 
-    Numeric entities are split off and rebuilt from their code by chr(), which
-    covers the first 256 characters; others become a space.
+    Numeric entities are split off and rebuilt from the UTF-8 bytes of their code; one that names no character becomes a space.
     """
     s = F.regexp_replace(text_of(x), r"<[^>]*>", " ")
     for name, char in _ENTITIES:
         s = F.regexp_replace(s, f"(?i)&{name};", char)
-    pieces = F.split(s, "&#(?=[0-9]{1,5};)")
+    pieces = F.split(s, "&#(?=[0-9]{1,7};|[xX][0-9a-fA-F]{1,6};)")
     head = F.get(pieces, F.lit(0))
-    code = lambda p: F.regexp_extract(p, r"^([0-9]+);", 1).cast("int")
-    tail = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.concat(F.when(code(p) < 256, F.chr(code(p))).otherwise(" "), F.regexp_replace(p, r"^[0-9]+;", "")))
+    told = r"^[xX]?[0-9a-fA-F]+;"
+    tail = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.concat(_char(_code(p)), F.regexp_replace(p, told, "")))
     return clean_text(F.concat(head, F.array_join(tail, "")))
 
 
+def _code(p: Column) -> Column:
+    """The code that a piece such as ``233;...`` or ``xE9;...`` starts with."""
+    return F.coalesce(F.conv(F.nullif(F.regexp_extract(p, r"^[xX]([0-9a-fA-F]+);", 1), F.lit("")), 16, 10), F.regexp_extract(p, r"^([0-9]+);", 1)).cast("int")
+
+
+def _char(code: Column) -> Column:
+    """The character of a code, from its UTF-8 bytes."""
+    part = lambda shift: F.shiftright(code, shift).bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128))
+    lead = lambda shift, mark: F.shiftright(code, shift).bitwiseOR(F.lit(mark))
+    octets = (
+        F.when(code < 0x80, F.array(code)).when(code < 0x800, F.array(lead(6, 0xC0), part(0))).when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.array(F.lit(32)))
+        .when(code < 0x10000, F.array(lead(12, 0xE0), part(6), part(0))).otherwise(F.array(lead(18, 0xF0), part(12), part(6), part(0)))
+    )
+    return F.decode(F.unhex(F.array_join(F.transform(octets, lambda b: F.lpad(F.hex(b), 2, "0")), "")), "UTF-8")
+
+
 def redact_url(x: Column) -> Column:
     """Values of key-like URL parameters replaced."""
     return F.regexp_replace(x, r"(?i)([?&](?:key|apikey|api_key|token|access_token)=)[^&]*", "$1REDACTED")

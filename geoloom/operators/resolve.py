@@ -169,11 +169,35 @@ def trust_pick(members: DataFrame, field_name: str, cfg: MatchConfig = MatchConf
     return d.select("cluster_id", F.col("p.value").alias("value"), F.col("p.source_id").alias("source_id"))
 
 
+def _told_connectors() -> Column:
+    """The connectors of a record with its source."""
+    return F.transform(F.coalesce("connectors", F.array().cast(RECORD["connectors"])), lambda c: F.struct(c["standard"].alias("standard"), c["count"].alias("count"), c["power_kw"].alias("power_kw"), F.col("source_id").alias("source_id")))
+
+
+def _collected() -> Column:
+    """All connectors of a group's records, in the order of the records: an aggregate."""
+    return F.flatten(F.array_sort(F.collect_list(F.struct("rid", _told_connectors().alias("c")))).getField("c"))
+
+
+def _by_standard(all_: Column) -> Column:
+    """One connector a standard: its largest power and count, and the sources that name it; the strongest first."""
+
+    def one(s: Column) -> Column:
+        own = F.filter(all_, lambda c: c["standard"] == s)
+        return F.struct(
+            F.nullif(F.array_max(F.transform(own, lambda c: c["power_kw"])), F.lit(0.0)).alias("power_kw"), s.alias("standard"),
+            F.nullif(F.array_max(F.transform(own, lambda c: c["count"])), F.lit(0)).alias("count"), F.array_distinct(F.transform(own, lambda c: c["source_id"])).alias("sources"),
+        )
+
+    power = lambda x: F.coalesce(x["power_kw"], F.lit(0.0))
+    standards = F.array_distinct(F.transform(all_, lambda c: c["standard"]))
+    return F.array_sort(F.transform(standards, one), lambda x, y: F.when(power(x) > power(y), -1).when(power(x) < power(y), 1).otherwise(0))
+
+
 def connector_merge(d: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """(key, standard, count, power_kw, sources): the largest count and power a standard has in any member."""
-    c = d.select(key, "source_id", "rid", F.explode("connectors").alias("c"))
-    g = c.groupBy(key, "c.standard").agg(F.nullif(F.max("c.count"), F.lit(0)).alias("count"), F.nullif(F.max("c.power_kw"), F.lit(0.0)).alias("power_kw"), F.array_sort(F.collect_set("source_id")).alias("sources"))
-    return g
+    """(key, standard, count, power_kw, sources): the connectors of each group as ``merge`` gives them."""
+    g = d.groupBy(key).agg(_collected().alias("_connectors"))
+    return g.select(key, F.explode(_by_standard(F.col("_connectors"))).alias("c")).select(key, "c.standard", "c.count", "c.power_kw", "c.sources")
 
 
 def slug_id(lat: Column, lng: Column, operator: Column) -> Column:
@@ -211,7 +235,7 @@ def merge(records: DataFrame, membership: DataFrame, cfg: MatchConfig = MatchCon
         F.min(F.when(precision == text.SURVEYED, 0).when(precision == text.BY_ADDRESS, 1).otherwise(2)).alias("_precision"),
         F.array_sort(F.collect_list(F.struct("source_id", "rid", "source_record_id", "fetched_at", F.col("source_url").alias("url")))).alias("_sources"),
         F.count_distinct("source_id").cast("int").alias("source_count"),
-        F.flatten(F.array_sort(F.collect_list(F.struct("rid", F.transform(F.coalesce("connectors", F.array().cast(RECORD["connectors"])), lambda c: F.struct(c["standard"].alias("standard"), c["count"].alias("count"), c["power_kw"].alias("power_kw"), F.col("source_id").alias("source_id"))).alias("c")))).getField("c")).alias("_connectors"),
+        _collected().alias("_connectors"),
     )
     first = lambda f: F.to_json(F.struct(F.col(f"p_{f}.value").alias("v")), {"ignoreNullFields": "false"})
 
@@ -221,16 +245,6 @@ def merge(records: DataFrame, membership: DataFrame, cfg: MatchConfig = MatchCon
         others = F.filter(kinds, lambda k: k != first(f))
         return F.transform(others, lambda k: F.struct(F.get(F.filter(seen, lambda v: v[f] == k), F.lit(0))["source_id"].alias("source_id"), F.get_json_object(k, "$.v").alias("value")))
 
-    standards = F.array_distinct(F.transform("_connectors", lambda c: c["standard"]))
-
-    def one(s: Column) -> Column:
-        own = F.filter("_connectors", lambda c: c["standard"] == s)
-        return F.struct(
-            F.nullif(F.array_max(F.transform(own, lambda c: c["power_kw"])), F.lit(0.0)).alias("power_kw"), s.alias("standard"),
-            F.nullif(F.array_max(F.transform(own, lambda c: c["count"])), F.lit(0)).alias("count"), F.array_distinct(F.transform(own, lambda c: c["source_id"])).alias("sources"),
-        )
-
-    connectors = F.array_sort(F.transform(standards, one), lambda x, y: F.when(F.coalesce(x["power_kw"], F.lit(0.0)) > F.coalesce(y["power_kw"], F.lit(0.0)), -1).when(F.coalesce(x["power_kw"], F.lit(0.0)) < F.coalesce(y["power_kw"], F.lit(0.0)), 1).otherwise(0))
     fields = (*SCALARS, "position")
     provenance = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("k"), F.struct(*[F.col(f"p_{f}")[x].alias(x) for x in ("source_id", "source_record_id", "fetched_at")]).alias("v")) for f in fields]), lambda e: e["v"]["source_id"].isNotNull()))
     conflicts = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("k"), conflict(f).alias("v")) for f in SCALARS]), lambda e: F.size(e["v"]) > 0))
@@ -238,7 +252,7 @@ def merge(records: DataFrame, membership: DataFrame, cfg: MatchConfig = MatchCon
         "cluster_id", *[F.col(f"p_{f}.value").alias(f) for f in SCALARS],
         F.round(F.col("p_position.value.lat"), 6).alias("lat"), F.round(F.col("p_position.value.lng"), 6).alias("lng"),
         F.element_at(F.array(*[F.lit(x) for x in text.PRECISION_ERROR_M]), F.col("_precision") + 1).alias("position_precision"),
-        (F.col("_precision") > 0).alias("geocoded"), connectors.alias("connectors"), provenance.alias("provenance"), conflicts.alias("conflicts"),
+        (F.col("_precision") > 0).alias("geocoded"), _by_standard(F.col("_connectors")).alias("connectors"), provenance.alias("provenance"), conflicts.alias("conflicts"),
         F.transform("_sources", lambda x: F.struct(*[x[k].alias(k) for k in ("source_id", "source_record_id", "fetched_at", "url")])).alias("sources"),
         "source_count", F.round(spread_m(F.col("_points"))).cast("int").alias("spatial_spread_m"),
     )

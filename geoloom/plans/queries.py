@@ -7,23 +7,15 @@ from pyspark.sql import functions as F
 from geoloom.functions import geo, text
 from geoloom.operators import drift, resolve, rollups, search
 from geoloom.operators.search import SiteQuery
-from geoloom.plans.records import BAND_SQL, HAVERSINE_SQL, REC_SQL, SITES_SQL, STATE_SQL, records, sites, table
+from geoloom.plans import source_queries, wide  # noqa: F401  (they register their queries)
+from geoloom.plans.records import BAND_SQL, HAVERSINE_SQL, KEY_SQL, LNG_STEP, REC_SQL, SIM_SQL, SITES_SQL, STATE_SQL, TOKENS_SQL, records, sites, table
+from geoloom.plans.registry import ORACLES, QUERIES, query
 
-QUERIES, ORACLES = {}, {}
+__all__ = ["ORACLES", "QUERIES"]
 CENTRE = (-37.5, 141.02)
 DIST = HAVERSINE_SQL.format("lat", "lng", *CENTRE)
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 def _box_sql(lat: float, lng: float, km: float) -> str:
     a, b, c, d = geo.box_around(lat, lng, km * 1000)
     return f"lat BETWEEN {a!r} AND {b!r} AND lng BETWEEN {c!r} AND {d!r}"
@@ -67,11 +59,6 @@ def filter_connector(spark, d):
     return search.matched(s, SiteQuery.from_raw(connectors=["R"], limit=None)).select("id")
 
 
-GENERIC_SQL = "[" + ", ".join(f"'{w}'" for w in text.GENERIC_NAME_WORDS) + "]"
-TOKENS_SQL = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '' AND NOT list_contains(" + GENERIC_SQL + ", t)))"
-SIM_SQL = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1})))::DOUBLE END"
-
-
 @query("text_search", f"""WITH {SITES_SQL},
 t AS (SELECT *, lower(coalesce(name, '')) AS n, lower(display_name) AS dn, lower(coalesce(operator, '')) AS op, {TOKENS_SQL.format("name")} AS toks FROM sites WHERE {USUAL} AND {MAPPABLE}),
 s AS (SELECT *, list_sum(list_transform(['red', 'bu'], lambda w: contains(n, w)::INT * 3.0 + starts_with(n, w)::INT * 1.5 + contains(dn, w)::INT * 3.0 + starts_with(dn, w)::INT * 1.5 + contains(op, w)::INT * 2.0 + starts_with(op, w)::INT * 1.0)) AS total,
@@ -93,6 +80,48 @@ for _sort, _order in (("power", "coalesce(max_power_kw, 0) DESC"), ("confidence"
         return out.select("id", (F.row_number().over(Window.orderBy(*search.ordering(out, q))) + 19).cast("long").alias("place"))
 
 
+TEXT_SQL = ORACLES["text_search"].rsplit("SELECT id", 1)[0].rstrip()
+
+
+@query("sort_relevance", f"{TEXT_SQL}, k AS (SELECT id, CASE WHEN whole AND total > 0 THEN total WHEN sim >= 0.34 THEN sim END AS r FROM s WHERE (whole AND total > 0) OR sim >= 0.34) SELECT id, row_number() OVER (ORDER BY r DESC, id) AS place FROM k ORDER BY r DESC, id LIMIT 30")
+def sort_relevance(spark, d):
+    return _places(sites(spark, d), SiteQuery.from_raw(text="Red BU", limit=30))
+
+
+@query("sort_name", f"WITH {SITES_SQL}, k AS (SELECT id, name FROM sites WHERE {USUAL} AND {MAPPABLE} AND lat < -37.5) SELECT id, row_number() OVER (ORDER BY name IS NOT NULL, name, id) AS place FROM k")
+def sort_name(spark, d):
+    return _places(sites(spark, d), SiteQuery.from_raw(sort="name", box=(-90, -37.5000001, -180, 180), limit=None))
+
+
+def _places(s, q):
+    """Ids with their places on a query's page."""
+    from pyspark.sql import Window
+
+    m = search.matched(s, q)
+    out = m.orderBy(*search.ordering(m, q)).limit(q.limit) if q.limit else m
+    return out.select("id", F.row_number().over(Window.orderBy(*search.ordering(out, q))).cast("long").alias("place"))
+
+
+@query("page_columns", f"{TEXT_SQL} SELECT id, round(CASE WHEN whole AND total > 0 THEN total ELSE sim END, 3) AS relevance, CAST(round({DIST}) AS BIGINT) AS distance_m FROM s WHERE ((whole AND total > 0) OR sim >= 0.34) ORDER BY {DIST}, id LIMIT 15 OFFSET 5")
+def page_columns(spark, d):
+    q = SiteQuery.from_raw(text="Red BU", lat=CENTRE[0], lng=CENTRE[1], limit=15, offset=5)
+    return search.search(sites(spark, d), q).page.select("id", "relevance", "distance_m")
+
+
+@query("request_parameters", f"WITH {SITES_SQL} SELECT id FROM sites WHERE {USUAL} AND {MAPPABLE} AND state IN ('VIC', 'NSW') AND coalesce(max_power_kw, 0) >= 22 AND lat BETWEEN -37.9 AND -36.0 AND lng BETWEEN 141.0 AND 141.2 ORDER BY coalesce(max_power_kw, 0) DESC, id LIMIT 25")
+def request_parameters(spark, d):
+    q = search.from_params({"state": ["vic", "nsw"], "minPowerKw": "22", "bbox": "141.0,-37.9,141.2,-36.0", "limit": "25", "sort": "power"})
+    return search.search(sites(spark, d), q).page.select("id")
+
+
+@query("empty_text_address", f"WITH {SITES_SQL}, a AS (SELECT *, 'Town ' || rid % 40 AS suburb FROM sites WHERE {USUAL} AND {MAPPABLE}) SELECT id, 2.0 AS relevance FROM a WHERE contains(lower(suburb), 'town') AND contains(lower(suburb), '39')")
+def empty_text_address(spark, d):
+    """Words that stand in no field but in the parts of the address."""
+    a = F.struct(F.concat(F.lit("Town "), (F.col("rid") % 40).cast("string")).alias("suburb"), F.lit(None).cast("string").alias("street"), F.lit(None).cast("string").alias("postcode"))
+    m = search.matched(sites(spark, d).withColumn("address", a), SiteQuery.from_raw(text="39", limit=None))
+    return m.select("id", F.round("_score", 3).alias("relevance"))
+
+
 FACET_SQL = " UNION ALL ".join(
     f"SELECT '{k}' AS facet, {v} AS value, count(*) AS n FROM m GROUP BY 2 HAVING {v} IS NOT NULL"
     for k, v in (("state", "coalesce(state, 'unknown')"), ("operator", "coalesce(operator, 'unknown')"), ("speed_band", "speed_band"), ("status", "status"), ("source_count", "CAST(source_count AS VARCHAR)"), ("position_precision", "position_precision"))
@@ -128,13 +157,11 @@ def geo_functions(spark, d):
 
 
 # --- entity resolution --------------------------------------------------------
-LNG_STEP = f"(250.0 / ({geo.METRES_PER_DEGREE!r} * greatest(0.2, cos(radians(lat)))))"
 PAIRS_SQL = f""",
 cells AS (SELECT *, CAST(floor(lat / {geo.lat_step(250)!r}) AS BIGINT) AS gy, CAST(floor(lng / {LNG_STEP}) AS BIGINT) AS gx FROM rec),
 near AS (SELECT c.*, c.gy + dy AS ny, c.gx + dx AS nx FROM cells c, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)),
 pairs AS (SELECT a.rid AS rid_a, b.rid AS rid_b, a.operator AS op_a, b.operator AS op_b, a.name AS n_a, b.name AS n_b, {HAVERSINE_SQL.format("a.lat", "a.lng", "b.lat", "b.lng")} AS dist
   FROM near a JOIN cells b ON a.ny = b.gy AND a.nx = b.gx AND a.rid < b.rid)"""
-KEY_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[‘’''`]', '', 'g'), '\\b(" + "|".join(text.COMPANY_WORDS) + ")\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 SCORE_SQL = PAIRS_SQL + f""",
 sims AS (SELECT *, {TOKENS_SQL.format("n_a")} AS ta, {TOKENS_SQL.format("n_b")} AS tb,
   n_a IS NOT NULL AND n_b IS NOT NULL AND coalesce({KEY_SQL.format("n_a")} <> {KEY_SQL.format("op_a")}, true) AND coalesce({KEY_SQL.format("n_b")} <> {KEY_SQL.format("op_b")}, true) AS venues FROM pairs),
@@ -237,7 +264,7 @@ def canonical_id(spark, d):
 def connector_merge(spark, d):
     c = F.array(F.struct(F.col("l_returnflag").alias("standard"), F.col("l_linenumber").alias("count"), F.col("l_quantity").alias("power_kw")))
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("cluster_id"), F.col("l_linestatus").alias("source_id"), F.col("l_linenumber").alias("rid"), c.alias("connectors"))
-    return resolve.connector_merge(li).withColumn("sources", F.array_join("sources", ","))
+    return resolve.connector_merge(li).withColumn("sources", F.array_join(F.array_sort("sources"), ","))
 
 
 @query("resolve_stats", f"WITH RECURSIVE {REC_SQL} {CLUSTER_SQL} SELECT (SELECT count(*) FROM rec) AS input_records, 0::BIGINT AS rejected, (SELECT count(DISTINCT cluster_id) FROM cl) AS sites, (SELECT count(*) FROM pairs) AS pairs_considered, (SELECT count(*) FROM scored WHERE score >= 0.55) AS links")
@@ -299,12 +326,14 @@ def issue_summary(spark, d):
 
 
 @query("source_stats", """WITH r AS (SELECT event_type AS source_id, count(*) AS record_count, count(*) FILTER (WHERE value > 50) AS planned_count FROM events GROUP BY 1),
-i AS (SELECT event_type AS source_id, count(*) AS issue_count, count(*) FILTER (WHERE event_id % 5 IN (0, 1)) AS structural_count FROM events WHERE event_id % 3 = 0 GROUP BY 1)
-SELECT source_id, record_count, planned_count, issue_count, round(issue_count / record_count, 4) AS issue_rate, structural_count, round(structural_count / record_count, 4) AS structural_issue_rate FROM r JOIN i USING (source_id)""")
+i AS (SELECT event_type AS source_id, count(*) AS issue_count, count(*) FILTER (WHERE event_id % 5 IN (0, 1)) AS structural_count FROM events GROUP BY 1),
+k AS (SELECT source_id, string_agg(kind || '=' || n, ',' ORDER BY kind) AS issue_kinds FROM (SELECT event_type AS source_id, (['rejected', 'parse_failure', 'data_gap', 'status_flag', 'policy'])[event_id % 5 + 1] AS kind, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1)
+SELECT source_id, issue_kinds, record_count, planned_count, issue_count, round(issue_count / record_count, 4) AS issue_rate, structural_count, round(structural_count / record_count, 4) AS structural_issue_rate FROM r JOIN i USING (source_id) JOIN k USING (source_id)""")
 def source_stats(spark, d):
     e = table(spark, d, "events")
     r = e.select(F.col("event_type").alias("source_id"), F.when(F.col("value") > 50, "planned").otherwise("operational").alias("status"))
-    return rollups.source_stats(r, _issues(spark, d).where(F.col("source_record_id").cast("long") % 3 == 0)).drop("issue_kinds")
+    told = F.array_join(F.transform(F.map_entries("issue_kinds"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return rollups.source_stats(r, _issues(spark, d)).withColumn("issue_kinds", told)
 
 
 @query("nearest_preceding_label", """SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS label FROM events""")
@@ -356,6 +385,36 @@ def loose_dates(spark, d):
     return o.select("o_orderkey", text.loose_date(F.date_format("o_orderdate", "d/M/yyyy")).cast("string").alias("a"), text.loose_date(F.date_format("o_orderdate", "MMMM yyyy")).cast("string").alias("b"))
 
 
+@query("loose_dates_all_forms", """WITH o AS (SELECT o_orderkey AS k, (['31/02/', '30-11-', '', 'Sept ', '', 'soon '])[o_orderkey % 6 + 1] AS part, 1990 + o_orderkey % 40 AS y FROM orders)
+SELECT k, CAST(CASE k % 6 WHEN 0 THEN make_date(y, 2, 1) + 30 WHEN 1 THEN make_date(y, 11, 30) WHEN 2 THEN make_date(y, 4, 1) + 30 WHEN 3 THEN make_date(y, 9, 1) WHEN 4 THEN make_date(y, 7, 1) END AS VARCHAR) AS day FROM o""")
+def loose_dates_all_forms(spark, d):
+    """Slashed, dashed, worded, month and year, ISO, and none of them; days beyond a month's end roll over."""
+    k = F.col("o_orderkey")
+    y = (1990 + k % 40).cast("string")
+    told = F.element_at(F.array(F.concat(F.lit("31/02/"), y), F.concat(F.lit("30-11-"), y), F.concat(F.lit("31 april "), y), F.concat(F.lit("Sept "), y), F.concat(y, F.lit("-07")), F.concat(F.lit("soon "), y)), (k % 6 + 1).cast("int"))
+    return table(spark, d, "orders").select(k.alias("k"), text.loose_date(told).cast("string").alias("day"))
+
+
+@query("html_texts", """SELECT page_id, 'Page ' || page_id || ' & co < "x" ' || chr(233) || ' ' || chr(8217) || ' ' || chr(8364) || ' ' || chr(8211) || ' end' AS plain FROM pages""")
+def html_texts(spark, d):
+    raw = F.concat(F.lit("<p>Page&nbsp;<b>"), F.col("page_id").cast("string"), F.lit("</b> &amp; co &lt;\n &quot;x&quot; &#233; &#8217; &#x20AC; &ndash;  end</p>"))
+    return table(spark, d, "pages").select("page_id", text.html_text(raw).alias("plain"))
+
+
+@query("query_variants", "SELECT c_custkey, 'Venue ' || c_custkey || ' Main Way, Town, VIC|' || c_custkey || ' Main Way, Town, VIC|Town, VIC' AS variants FROM customer")
+def query_variants(spark, d):
+    a = F.concat(F.lit("Venue "), F.col("c_custkey").cast("string"), F.lit(" Main  Way, Town"))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(text.query_variants(a, F.lit("VIC")), "|").alias("variants"))
+
+
+@query("rough_metres", f"WITH {REC_SQL} SELECT rid, abs({DIST} - 1) >= 0 AS told FROM rec")
+def rough_metres(spark, d):
+    """The flat approximation lies within 2 per mille and a metre of the great circle up to 20 km away."""
+    lat, lng = F.col("lat"), F.col("lng")
+    exact, rough = geo.haversine_m(lat, lng, *CENTRE), geo.rough_m(lat, lng, *CENTRE)
+    return records(spark, d).select("rid", ((exact > 20_000) | (F.abs(exact - rough) <= 1 + 0.002 * exact)).alias("told"))
+
+
 @query("status_access_fee", """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'operational' WHEN 'P' THEN 'planned' ELSE 'decommissioned' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'public' WHEN o_orderkey % 3 = 1 THEN 'restricted' ELSE 'private' END AS access, CASE WHEN o_orderkey % 3 = 0 THEN true WHEN o_orderkey % 3 = 1 THEN false END AS fee FROM orders""")
 def status_access_fee(spark, d):
     k = F.col("o_orderkey") % 3
@@ -376,7 +435,7 @@ def connector_standards(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.connector_standard(raw).alias("standard"))
 
 
-@query("fnv_ids", None)
+@query("fnv_ids", "SELECT s_suppkey, list_reduce(list_transform(string_split(s_name, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)) AS hash FROM supplier")
 def fnv_ids(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", text.fnv1a(F.col("s_name")).alias("hash"))
 
@@ -397,10 +456,9 @@ def content_hashes(spark, d):
 
 
 # --- pages, JSON, lookups -----------------------------------------------------
-@query("html_links", r"""SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1""")
+@query("html_links", r"""SELECT page_id, CAST(len(regexp_extract_all(coalesce(html, ''), '<a [^>]*href="([^"]*)"', 1)) AS BIGINT) AS links FROM pages""")
 def html_links(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"]*)"'), F.lit(1))).alias("href"))
-    return p.groupBy("page_id").agg(F.count("*").alias("links"))
+    return table(spark, d, "pages").select("page_id", F.regexp_count(F.coalesce("html", F.lit("")), F.lit(r'<a [^>]*href="([^"]*)"')).cast("long").alias("links"))
 
 
 @query("html_items", r"""SELECT page_id, CAST(len(regexp_extract_all(html, '(?s)<li[ >].*?</li>')) AS INT) AS items FROM pages""")
@@ -443,6 +501,32 @@ def drift_report(spark, d):
     return drift.detect(_run(spark, d, 90, 0), _run(spark, d, 60, 1)).select("source_id", "level")
 
 
+BRANCHES = "(['calm', 'error', 'skipped', 'zero', 'stale', 'moved', 'new', 'rate', 'rise', 'drop'])"
+
+
+@query("drift_all_branches", f"""WITH s AS (SELECT s_suppkey AS k, {BRANCHES}[s_suppkey % 10 + 1] AS b, 100 + s_suppkey AS n FROM supplier)
+SELECT 's' || k AS source_id, CASE WHEN b IN ('calm', 'skipped', 'new') THEN 'ok' WHEN b IN ('stale', 'moved', 'rise') THEN 'warn' ELSE 'fail' END AS level,
+  CASE b WHEN 'calm' THEN n || ' records, 5.0% parse-failure rate' WHEN 'error' THEN 'fetch/normalise error: gone' WHEN 'skipped' THEN 'skipped (not configured)' WHEN 'zero' THEN 'returned zero records' WHEN 'stale' THEN 'served from a stale local cache'
+    WHEN 'moved' THEN 'served from a different endpoint than last run' WHEN 'new' THEN 'new source, baseline ' || n || ' records' WHEN 'rate' THEN '80.0% of records failed to parse' WHEN 'rise' THEN 'parse-failure rate rose 15.0 points'
+    ELSE 'record count moved -50.0% (' || 2 * n || ' -> ' || n || ')' END AS message FROM s""")
+def drift_all_branches(spark, d):
+    k = F.col("s_suppkey")
+    b = F.element_at(F.array(*[F.lit(x) for x in ("calm", "error", "skipped", "zero", "stale", "moved", "new", "rate", "rise", "drop")]), (k % 10 + 1).cast("int"))
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("source_id"), b.alias("b"), (100 + k).alias("n"))
+    cur = s.select(
+        "source_id", F.when(F.col("b") == "zero", 0).otherwise(F.col("n")).alias("record_count"), F.lit(0.9).alias("issue_rate"), F.when(F.col("b") == "rate", 0.8).when(F.col("b") == "rise", 0.2).otherwise(0.05).alias("structural_issue_rate"),
+        F.when(F.col("b") == "error", "gone").alias("error"), (F.col("b") == "skipped").alias("skipped"), F.when(F.col("b") == "moved", "two").otherwise("one").alias("served_from"), (F.col("b") == "stale").alias("stale_fallback"),
+    )
+    old = s.where("b <> 'new'").select("source_id", F.when(F.col("b") == "drop", 2 * F.col("n")).otherwise(F.col("n")).alias("record_count"), F.lit(0.9).alias("issue_rate"), F.when(F.col("b") == "rate", 0.8).otherwise(0.05).alias("structural_issue_rate"), F.lit("one").alias("served_from"))
+    return drift.detect(old, cur).select("source_id", "level", "message")
+
+
+@query("changed_content", "SELECT page_id, 'changed' AS change FROM pages WHERE page_id % 4 = 0")
+def changed_content(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("sha"))
+    return drift.changed(p.withColumn("sha", F.when(F.col("page_id") % 4 == 0, "x").otherwise(F.col("sha"))), p, "page_id", F.col("sha"))
+
+
 @query("field_staleness", f"""WITH {REC_SQL} SELECT rid, round(date_diff('microsecond', fetched_at, TIMESTAMP '1998-09-02') / 86400000000.0, 2) AS age_days, date_diff('microsecond', fetched_at, TIMESTAMP '1998-09-02') / 86400000000.0 > 30 AS stale FROM rec""")
 def field_staleness(spark, d):
     s = drift.staleness(F.col("fetched_at"), "status", F.lit("1998-09-02").cast("timestamp_ntz"))
