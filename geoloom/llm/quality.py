@@ -1,11 +1,18 @@
 """Quality rules with adaptive thresholds (DataFrame functions only).
 
 Every document gets integer metrics.  Per language and source each metric is
-summarised by a histogram sketch with fixed integer buckets: two sketches merge
-by adding counts, so Spark builds them with map-side partial sums, and the
-sketch of a language (or of everything) is the merged sketch of its sources.
-Outlier fences come from the sketch's quartiles and are joined back to the
-documents; no cutoff of the adaptive part is fixed in advance.
+summarised by a quantile sketch: a log-linear histogram whose buckets keep the
+six highest bits of a value, so it has a few hundred buckets, no rank error at
+its bucket bounds and values to within one part in 32 (exact below 64).  Two
+sketches merge by adding counts, so Spark builds them with map-side partial
+sums, and the sketch of a language (or of everything) is the merged sketch of
+its sources.
+
+A group's fence lies REACH times as far beyond its TAIL quantile as that lies
+from the median, so the group's own spread decides; no cutoff is fixed.  A
+document is judged by the bound that its own size allows: counts less Z times
+their square root, word length give or take its standard error.  The fences are
+joined back to the documents.
 
 Defined results: a null or empty text has no words and fails the base rule; a
 null language or source is a group of its own; repeated rows are judged one by
@@ -23,11 +30,10 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Groups with fewer documents borrow the merged sketch of their language.
 MIN_GROUP = 50
-#: Fence = quartile +- max(FENCE_IQR * interquartile range, margin).
-FENCE_IQR = 3
-#: metric -> (upper margin, lower margin or None); per mille, tenths for word length.
-MARGINS = {"sym": (100, None), "dup": (300, None), "rep": (300, None), "wlen": (30, 30)}
-MAX_BUCKET = 2000
+#: Tail quantile in tenths (the lower one is its mirror), reach of a fence, deviations taken off a count.
+TAIL, REACH, Z = 9, 6, 2
+#: metric -> whether it has a lower fence too; counts in 1/10,000, word length in 1/100.
+METRICS = {"sym": False, "dup": False, "rep": False, "wlen": True}
 
 
 def base_metrics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -78,23 +84,44 @@ def base_metrics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", la
     )
 
 
-def _bucket(num: Column, den: Column, scale: int) -> Column:
-    return F.least(F.floor(scale * num / F.greatest(den, F.lit(1))), F.lit(MAX_BUCKET)).cast("int")
+def _rate(num: Column, den: Column) -> Column:
+    """Least likely rate of a count, in 1/10,000."""
+    return F.floor(10000 * F.greatest(F.lit(0.0), num - Z * F.sqrt(num)) / F.greatest(den, F.lit(1))).cast("long")
 
 
 def metric_columns() -> dict[str, Column]:
+    """What the sketches hold."""
     c = F.col
     return {
-        "sym": _bucket(c("n_symbols"), c("word_chars"), 1000),
-        "dup": _bucket(c("n_dup_lines"), c("n_lines"), 1000),
-        "rep": _bucket(c("n_repeat_words"), c("n_words"), 1000),
-        "wlen": _bucket(c("word_chars"), c("n_words"), 10),
-    }
+        "sym": _rate(c("n_symbols"), c("word_chars")), "dup": _rate(c("n_dup_lines"), c("n_lines")), "rep": _rate(c("n_repeat_words"), c("n_words")),
+        "wlen": F.floor(100 * c("word_chars") / F.greatest(c("n_words"), F.lit(1))).cast("long"),
+    }
+
+
+def _inside() -> Column:
+    """Whether a document lies within the fences that hold for it."""
+    value, n = metric_columns(), F.greatest(F.col("n_words"), F.lit(1))
+    out = F.lit(True)
+    for m, both in METRICS.items():
+        low, high = (value[m] * (1 - 1 / F.sqrt(n)), value[m] * (1 + 1 / F.sqrt(n))) if both else (value[m], value[m])
+        out = out & (low <= F.col(f"{m}_hi"))
+        if both:
+            out = out & (high >= F.col(f"{m}_lo"))
+    return out
+
+
+def bucket(v: Column) -> Column:
+    """The lowest value of v's bucket: its six highest bits."""
+    return F.call_function("shiftleft", F.call_function("shiftright", v, _spare(v)), _spare(v))
+
+
+def _spare(v: Column) -> Column:
+    return F.greatest(F.length(F.bin(v)) - 6, F.lit(0))
 
 
 def sketches(metrics: DataFrame) -> DataFrame:
-    """(lang, source, metric, bucket, n): at most MAX_BUCKET + 1 rows a metric and group."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("bucket")) for k, v in metric_columns().items()]))
+    """(lang, source, metric, bucket, n): a few hundred rows a metric and group."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bucket(v).alias("bucket")) for k, v in metric_columns().items()]))
     return (
         metrics.where(~F.col("base_failed")).select("lang", "source", pairs.alias("m"))
         .groupBy("lang", "source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
@@ -107,20 +134,20 @@ def merge_sketches(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def fences(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Quartiles and fences per group, one row a group: n, <metric>_hi, <metric>_lo."""
+    """Fences from a sketch's quantiles, one row a group: n, <metric>_hi, <metric>_lo."""
     from pyspark.sql import Window
 
     part = Window.partitionBy(*keys, "metric")
     cum = part.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     d = sketch.withColumn("cum", F.sum("n").over(cum)).withColumn("tot", F.sum("n").over(part))
-    q = lambda k: F.min(F.when(4 * F.col("cum") >= k * F.col("tot"), F.col("bucket")))
-    d = d.groupBy(*keys, "metric").agg(F.max("tot").alias("n"), q(1).alias("q1"), q(3).alias("q3"))
-    spread = FENCE_IQR * (F.col("q3") - F.col("q1"))
+    q = lambda k: F.min(F.when(10 * F.col("cum") >= k * F.col("tot"), F.col("bucket")))
+    d = d.groupBy(*keys, "metric").agg(F.max("tot").alias("n"), q(10 - TAIL).alias("low"), q(5).alias("mid"), q(TAIL).alias("high"))
     out = [F.max("n").alias("n")]
-    for m, (up, down) in MARGINS.items():
-        out.append(F.max(F.when(F.col("metric") == m, F.col("q3") + F.greatest(spread, F.lit(up)))).alias(f"{m}_hi"))
-        if down is not None:
-            out.append(F.max(F.when(F.col("metric") == m, F.col("q1") - F.greatest(spread, F.lit(down)))).alias(f"{m}_lo"))
+    for m, both in METRICS.items():
+        of = lambda x: F.max(F.when(F.col("metric") == m, x))  # noqa: B023, E731
+        out.append(of(F.col("high") + REACH * (F.col("high") - F.col("mid"))).alias(f"{m}_hi"))
+        if both:
+            out.append(of(F.col("low") - REACH * (F.col("mid") - F.col("low"))).alias(f"{m}_lo"))
     return d.groupBy(*keys).agg(*out)
 
 
@@ -129,7 +156,7 @@ def thresholds(metrics: DataFrame) -> DataFrame:
     sketch = sketches(metrics)
     by_lang = merge_sketches(sketch, "lang")
     overall = merge_sketches(by_lang)
-    cols = [c for m, (_, down) in MARGINS.items() for c in ([f"{m}_hi"] + ([f"{m}_lo"] if down is not None else []))]
+    cols = [c for m, both in METRICS.items() for c in ([f"{m}_hi", f"{m}_lo"] if both else [f"{m}_hi"])]
     own = fences(sketch, "lang", "source").alias("o")
     lang = fences(by_lang, "lang").alias("l")
     top = fences(overall.withColumn("g", F.lit(1)), "g").alias("t")  # one row
@@ -151,15 +178,9 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     t = thresholds(m).alias("t")
     m = m.alias("m")
     j = m.join(t, F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "inner")
-    value = metric_columns()
-    inside = F.lit(True)
-    for k, (_, down) in MARGINS.items():
-        inside = inside & (value[k] <= F.col(f"{k}_hi"))
-        if down is not None:
-            inside = inside & (value[k] >= F.col(f"{k}_lo"))
     return j.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"),
+        (~F.col("base_failed") & F.coalesce(_inside(), F.lit(True))).alias("kept"),
     )
 
 
@@ -183,31 +204,31 @@ m AS (
   FROM d LEFT JOIN cov USING (rn)),
 b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         least(1000 * n_symbols // greatest(word_chars, 1), 2000) AS sym,
-         least(1000 * n_dup_lines // greatest(n_lines, 1), 2000) AS dup,
-         least(1000 * n_repeat_words // greatest(n_words, 1), 2000) AS rep,
-         least(10 * word_chars // greatest(n_words, 1), 2000) AS wlen
+         CAST(floor(10000 * greatest(0.0::DOUBLE, n_symbols - 2 * sqrt(n_symbols)) / greatest(word_chars, 1)) AS BIGINT) AS sym,
+         CAST(floor(10000 * greatest(0.0::DOUBLE, n_dup_lines - 2 * sqrt(n_dup_lines)) / greatest(n_lines, 1)) AS BIGINT) AS dup,
+         CAST(floor(10000 * greatest(0.0::DOUBLE, n_repeat_words - 2 * sqrt(n_repeat_words)) / greatest(n_words, 1)) AS BIGINT) AS rep,
+         CAST(floor(100 * word_chars / greatest(n_words, 1)) AS BIGINT) AS wlen, sqrt(greatest(n_words, 1)) AS root
   FROM m),
 g AS (SELECT * FROM b WHERE NOT base_failed),
-f AS (
+q AS (
   SELECT GROUPING(lang) + GROUPING(source) AS lvl, lang, source, count(*) AS n,
-    quantile_disc(sym, 0.75) AS sym3, quantile_disc(sym, 0.25) AS sym1,
-    quantile_disc(dup, 0.75) AS dup3, quantile_disc(dup, 0.25) AS dup1,
-    quantile_disc(rep, 0.75) AS rep3, quantile_disc(rep, 0.25) AS rep1,
-    quantile_disc(wlen, 0.75) AS wlen3, quantile_disc(wlen, 0.25) AS wlen1
+    [quantile_disc(sym, 0.5), quantile_disc(sym, 0.9)] AS s, [quantile_disc(dup, 0.5), quantile_disc(dup, 0.9)] AS d,
+    [quantile_disc(rep, 0.5), quantile_disc(rep, 0.9)] AS r, [quantile_disc(wlen, 0.1), quantile_disc(wlen, 0.5), quantile_disc(wlen, 0.9)] AS w
   FROM g GROUP BY GROUPING SETS ((lang, source), (lang), ())),
+f AS (
+  SELECT lvl, lang, source, n, ROUNDED(s) AS s, ROUNDED(d) AS d, ROUNDED(r) AS r, ROUNDED(w) AS w FROM q),
 t AS (
-  SELECT *, sym3 + greatest(3 * (sym3 - sym1), 100) AS sym_hi, dup3 + greatest(3 * (dup3 - dup1), 300) AS dup_hi,
-         rep3 + greatest(3 * (rep3 - rep1), 300) AS rep_hi, wlen3 + greatest(3 * (wlen3 - wlen1), 30) AS wlen_hi,
-         wlen1 - greatest(3 * (wlen3 - wlen1), 30) AS wlen_lo
+  SELECT lvl, lang, source, n, s[2] + 6 * (s[2] - s[1]) AS sym_hi, d[2] + 6 * (d[2] - d[1]) AS dup_hi, r[2] + 6 * (r[2] - r[1]) AS rep_hi,
+         w[3] + 6 * (w[3] - w[2]) AS wlen_hi, w[1] - 6 * (w[2] - w[1]) AS wlen_lo
   FROM f)
 SELECT b.doc_id, b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, b.n_repeat_words, b.base_failed,
-  NOT b.base_failed AND coalesce(CASE
-    WHEN o.n >= 50 THEN b.sym <= o.sym_hi AND b.dup <= o.dup_hi AND b.rep <= o.rep_hi AND b.wlen <= o.wlen_hi AND b.wlen >= o.wlen_lo
-    WHEN l.n >= 50 THEN b.sym <= l.sym_hi AND b.dup <= l.dup_hi AND b.rep <= l.rep_hi AND b.wlen <= l.wlen_hi AND b.wlen >= l.wlen_lo
-    ELSE b.sym <= a.sym_hi AND b.dup <= a.dup_hi AND b.rep <= a.rep_hi AND b.wlen <= a.wlen_hi AND b.wlen >= a.wlen_lo END, true) AS kept
+  NOT b.base_failed AND coalesce(CASE WHEN o.n >= 50 THEN INSIDE(o) WHEN l.n >= 50 THEN INSIDE(l) ELSE INSIDE(a) END, true) AS kept
 FROM b
 LEFT JOIN (SELECT * FROM t WHERE lvl = 0) o ON b.lang IS NOT DISTINCT FROM o.lang AND b.source IS NOT DISTINCT FROM o.source
 LEFT JOIN (SELECT * FROM t WHERE lvl = 1) l ON b.lang IS NOT DISTINCT FROM l.lang
 LEFT JOIN (SELECT * FROM t WHERE lvl = 2) a ON true
 """
+for _k in "sdrw":
+    ORACLE = ORACLE.replace(f"ROUNDED({_k})", f"list_transform({_k}, lambda v: (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0))")
+for _k in "ola":
+    ORACLE = ORACLE.replace(f"INSIDE({_k})", " AND ".join(f"b.{m} <= {_k}.{m}_hi" for m in ("sym", "dup", "rep")) + f" AND b.wlen * (1 - 1 / b.root) <= {_k}.wlen_hi AND b.wlen * (1 + 1 / b.root) >= {_k}.wlen_lo")
