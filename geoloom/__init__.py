@@ -1 +1,11 @@
-"""Location data integration and query engine on Spark."""
+"""Location data integration and query engine on Spark.
+
+The usual entry points are gathered here; each module has more.
+"""
+
+from geoloom.ingest import ingest as run_sources
+from geoloom.ingest import load, save
+from geoloom.operators.resolve import MatchConfig, resolve
+from geoloom.operators.search import SiteQuery, nearest, search
+
+__all__ = ["MatchConfig", "SiteQuery", "load", "nearest", "resolve", "run_sources", "save", "search"]

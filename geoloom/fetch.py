@@ -47,14 +47,19 @@ def read_manifest(folder: str) -> dict:
         return {"version": 1, "entries": {}}
 
 
-def _replace(path: str, data: bytes) -> None:
+def replace_file(path: str, data: bytes) -> None:
     with open(path + ".tmp", "wb") as f:
         f.write(data)
     os.replace(path + ".tmp", path)
 
 
 def http_get(url: str, timeout: float = 60) -> bytes:
-    with urllib.request.urlopen(url, timeout=timeout) as r:
+    return http_send(url, timeout=timeout)
+
+
+def http_send(url: str, body: bytes | None = None, headers: dict | None = None, timeout: float = 300) -> bytes:
+    """The answer to a GET, or to a POST of ``body``."""
+    with urllib.request.urlopen(urllib.request.Request(url, body, headers or {}), timeout=timeout) as r:
         return r.read()
 
 
@@ -87,9 +92,9 @@ def retrieve(key: str, urls: list[str], folder: str, validate: Callable[[bytes],
             continue
         now, sha = datetime.now(timezone.utc).isoformat().replace("+00:00", "Z"), digest(data)
         changed = bool(old) and old.get("sha256") != sha
-        _replace(path, data)
+        replace_file(path, data)
         m["entries"][key] = {"url": redact(url, secrets), "fetchedAt": now, "sha256": sha, "bytes": len(data), "previousSha256": old.get("sha256"), "previousBytes": old.get("bytes"), "changed": changed}
-        _replace(os.path.join(folder, "manifest.json"), json.dumps(m, indent=1, sort_keys=True).encode())
+        replace_file(os.path.join(folder, "manifest.json"), json.dumps(m, indent=1, sort_keys=True).encode())
         return Fetched(path, redact(url, secrets), now, changed, False, False)
     if os.path.exists(path):
         return Fetched(path, old.get("url"), old.get("fetchedAt"), False, True, True, "; ".join(tried))

@@ -24,6 +24,10 @@ class Run:
     resolution: DataFrame
 
 
+def without_planned(sites: DataFrame) -> DataFrame:
+    return sites.where(F.col("status") != "planned")
+
+
 def ingest(spark: SparkSession, paths: dict[str, str], ctx: Context, cfg: MatchConfig = MatchConfig(), exclude_planned: bool = False) -> Run:  # noqa: B008
     """Read every source in ``paths`` (id -> file), resolve, and count.
 
@@ -46,15 +50,18 @@ def ingest(spark: SparkSession, paths: dict[str, str], ctx: Context, cfg: MatchC
         records, issues = records.unionByName(r), issues.unionByName(i)
     sites, resolution = resolve(conform(records), cfg)
     if exclude_planned:
-        sites = sites.where(F.col("status") != "planned")
+        sites = without_planned(sites)
     bad = spark.createDataFrame(errors, "source_id string, error string")
     stats = rollups.source_stats(records, issues).join(bad, "source_id", "full")
     return Run(sites, records, issues, stats, resolution)
 
 
 def save(run: Run, path: str) -> None:
+    """Write the run's tables; sites in the order of their ids."""
     for name in ("sites", "records", "issues", "source_stats", "resolution"):
-        getattr(run, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        d = getattr(run, name)
+        (d.orderBy("id") if name == "sites" else d).write.mode("overwrite").parquet(f"{path}/{name}")
+    rollups.dataset_counts(run.records, run.sites, run.resolution).write.mode("overwrite").parquet(f"{path}/counts")
 
 
 def load(spark: SparkSession, path: str, name: str = "sites") -> DataFrame | None:

@@ -128,3 +128,35 @@ def operator_summary(rollup: DataFrame) -> DataFrame:
         F.sum("sites").alias("total_sites"), F.sum("mappable").alias("mappable_sites"), F.sum("approximate").alias("approximate_sites"), F.sum("plugs").alias("total_plugs"), F.count("*").alias("operators"),
         F.count_if(listed).alias("listed_count"), part("sites", listed).alias("listed_sites"), F.count_if(~listed).alias("tail_count"), part("sites", ~listed).alias("tail_sites"), part("plugs", ~listed).alias("tail_plugs"), F.count_if(F.col("sites") == 1).alias("single_site_operators"),
     )
+
+
+def operator_table(sites: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(summary row, operators with their links, the largest first): the two parts of the operator table."""
+    from geoloom.operators.lookup import with_url
+
+    rows = with_url(operator_rollup(sites), urls)
+    links = rows.agg(F.count_if(F.col("listed") & F.col("url").isNotNull()).alias("with_url"))
+    return operator_summary(rows).crossJoin(F.broadcast(links)), rows.orderBy(F.desc("sites"), "operator")
+
+
+def speed_class(precision: Column, status: Column, band: Column) -> Column:
+    """How a map shows a site: approximate before planned before its speed band."""
+    return F.when(precision == text.BY_LOCALITY, "approximate").when(status == "planned", "planned").otherwise(F.coalesce(F.nullif(band, F.lit("")), F.lit("unknown")))
+
+
+def dataset_counts(records: DataFrame, sites: DataFrame, resolution: DataFrame) -> DataFrame:
+    """One row: the counts of the resolution with source records, all sites and planned ones."""
+    r = records.agg(F.count("*").alias("source_records"))
+    s = sites.agg(F.count("*").alias("sites_including_planned"), F.count_if(F.col("status") == "planned").alias("planned_sites"))
+    # three tables of one row each
+    return resolution.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(s))
+
+
+#: Speed bands in the order of a report.
+BAND_ORDER = ("ultra", "rapid", "fast", "medium", "slow", "trickle", "unknown")
+
+
+def report_order(counts: DataFrame) -> DataFrame:
+    """(dimension, value, n) in the order of a report: bands from fast to slow, everything else by count."""
+    band = F.coalesce(F.array_position(F.array(*[F.lit(b) for b in BAND_ORDER]), F.col("value")), F.lit(99))
+    return counts.orderBy("dimension", F.when(F.col("dimension") == "speed_band", band).otherwise(0), F.desc("n"), "value")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,6 +127,43 @@ def from_params(params: dict[str, str | list[str]]) -> SiteQuery:
     return SiteQuery.from_raw(**raw)
 
 
+#: Rows that a list beside a map shows, and the zoom from which a map asks for its view alone.
+LIST_ROWS, VIEW_ZOOM = 120, 7
+#: Key of a link -> key of the state it stands for.
+LINK_KEYS = {"site": "site", "q": "text", "state": "state", "connector": "connector", "operator": "operator", "minKw": "min_power_kw", "corroborated": "corroborated", "planned": "include_planned", "approx": "include_approximate"}
+FLAGS = ("corroborated", "include_planned", "include_approximate")
+
+
+def from_state(state: dict, zoom: float | None = None, view: tuple | None = None) -> SiteQuery:
+    """The query of a map's controls, without a limit; a close view without text bounds it by its box."""
+    only = lambda k: [state[k]] if state.get(k) else None
+    close = view is not None and zoom is not None and zoom >= VIEW_ZOOM and not state.get("text")
+    centre = state.get("centre") or (None, None)
+    return SiteQuery.from_raw(
+        text=state.get("text"), min_power_kw=state.get("min_power_kw"), connectors=only("connector"), states=only("state"), operators=only("operator"), min_sources=2 if state.get("corroborated") else None,
+        include_planned=state.get("include_planned"), include_approximate=state.get("include_approximate"), lat=centre[0], lng=centre[1], box=view if close else None, limit=None,
+    )
+
+
+def list_cut(m: DataFrame, q: SiteQuery, id_col: str = "id") -> DataFrame:
+    """The rows that the list beside the map shows."""
+    return m.orderBy(*ordering(m, q, id_col)).limit(LIST_ROWS)
+
+
+def to_link(state: dict) -> str:
+    """The part of a link after #, from the values that are set."""
+    told = {k: "1" if v in FLAGS and state.get(v) else state.get(v) for k, v in LINK_KEYS.items()}
+    number = lambda v: int(v) if isinstance(v, float) and v.is_integer() else v
+    return "&".join(f"{k}={quote(str(number(v)), safe="!~*()'")}" for k, v in told.items() if v not in (None, "", False))
+
+
+def from_link(link: str) -> dict:
+    """The state of a link: every key, with what it does not name cleared."""
+    pairs = dict(p.split("=", 1) for p in link.removeprefix("#").split("&") if "=" in p)
+    told = {v: unquote(pairs[k]) if pairs.get(k) else None for k, v in LINK_KEYS.items()}
+    return told | {k: bool(told[k]) for k in FLAGS} | {"min_power_kw": float(told["min_power_kw"]) if told["min_power_kw"] else None}
+
+
 def _col(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 

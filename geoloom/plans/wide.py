@@ -250,3 +250,36 @@ def coverage_with_connectors(spark, d):
 @query("latest_fetch", f"WITH {MERGED_SQL} SELECT cluster_id, latest FROM done")
 def latest_fetch(spark, d):
     return _merged(spark, d).select("cluster_id", rollups.latest_fetch(F.col("sources")).alias("latest"))
+
+
+@query("speed_classes", f"WITH {MERGED_SQL} SELECT cluster_id, CASE WHEN position_precision = 'geocoded_locality' THEN 'approximate' WHEN status = 'planned' THEN 'planned' ELSE speed_band END AS class FROM done")
+def speed_classes(spark, d):
+    return _merged(spark, d).select("cluster_id", rollups.speed_class(F.col("position_precision"), F.col("status"), F.col("speed_band")).alias("class"))
+
+
+@query("list_cut", f"WITH {MERGED_SQL} SELECT cluster_id FROM done WHERE status IN ('operational', 'unknown', 'planned') AND position_precision <> 'geocoded_locality' AND state = 'VIC' AND coalesce(max_power_kw, 0) >= 50 ORDER BY coalesce(max_power_kw, 0) DESC, id LIMIT 120")
+def list_cut(spark, d):
+    """The list beside a map with a state, a power and planned sites chosen."""
+    q = search.from_state({"state": "vic", "min_power_kw": 50, "include_planned": True}, zoom=9)
+    return search.list_cut(search.matched(_merged(spark, d), q), q).select("cluster_id")
+
+
+@query("dataset_counts", f"WITH {MERGED_SQL} SELECT (SELECT count(*) FROM full_rec) AS source_records, count(*) AS sites_including_planned, count(*) FILTER (WHERE status = 'planned') AS planned_sites, count(*) FILTER (WHERE source_count > 1) AS multi_source_sites, count(*) FILTER (WHERE n_conflicts > 0) AS sites_with_conflicts FROM done")
+def dataset_counts(spark, d):
+    m = _merged(spark, d)
+    r = m.agg(F.count_if(F.col("source_count") > 1).alias("multi_source_sites"), F.count_if(F.size(F.map_keys("conflicts")) > 0).alias("sites_with_conflicts"))
+    return rollups.dataset_counts(full_records(spark, d), m, r)
+
+
+@query("operator_links", f"""WITH {MERGED_SQL}, o AS (SELECT coalesce(operator, '(unattributed)') AS operator, count(*) AS n FROM done GROUP BY 1)
+SELECT count(*) AS operators, count(*) FILTER (WHERE n >= 5) AS listed_count, count(*) FILTER (WHERE n >= 5 AND operator = 'BUILDING') AS with_url FROM o""")
+def operator_links(spark, d):
+    links = spark.createDataFrame([("BUILDING", "https://building.example/", "x"), ("NOBODY", "https://nobody.example/", None)], "operator string, url string, note string")
+    return rollups.operator_table(_merged(spark, d), links)[0].select("operators", "listed_count", "with_url")
+
+
+@query("planned_left_out", f"WITH {MERGED_SQL} SELECT cluster_id FROM done WHERE status <> 'planned'")
+def planned_left_out(spark, d):
+    from geoloom.ingest import without_planned
+
+    return without_planned(_merged(spark, d)).select("cluster_id")

@@ -48,7 +48,7 @@ class Service:
             facets: dict[str, dict[str, int]] = {}
             for r in search.facets(m).collect():
                 facets.setdefault(r.facet, {})[r.value] = r.n
-            return {"total": m.count(), "returned": len(rows), "facets": facets, "sites": rows}
+            return {"total": m.count(), "sort": q.order, "returned": len(rows), "facets": facets, "sites": rows}
         finally:
             m.unpersist()
 

@@ -167,10 +167,20 @@ def test_run_and_exports(spark, put, tmp_path):
     assert ingest.load(spark, f"file://{tmp_path}/none", "resolution") is None
     meta = {"generated_at": "2026-09-05", "licence": "ODbL 1.0", "attribution": [{"text": "t", "licence": "l", "licence_url": "u"}]}
     export.write(sites, "bundle", f"file://{tmp_path}/x", meta)
-    lines = [r.value for r in spark.read.text(f"file://{tmp_path}/x/csv/rows").collect()]
+    lines = [r.value for r in spark.read.text(f"file://{tmp_path}/x/csv/1-rows").collect()]
     assert len(lines) == 3 and any("DCUnspecifiedx2@350kW" in x for x in lines)
-    features = [json.loads(r.value) for r in spark.read.text(f"file://{tmp_path}/x/geojson/rows").collect()]
-    assert {f["geometry"]["type"] for f in features} == {"Point"} and len(features) == 3
+    one = {}
+    for f in ("geojson", "json", "csv"):
+        export.join_parts(spark, [f"file://{tmp_path}/x/{f}"], f"file://{tmp_path}/one.{f}")
+        one[f] = (tmp_path / f"one.{f}").read_text()
+    features = json.loads(one["geojson"])
+    assert features["type"] == "FeatureCollection" and {f["geometry"]["type"] for f in features["features"]} == {"Point"} and len(features["features"]) == 3
+    assert [f["properties"]["id"] for f in features["features"]] == sorted(f["properties"]["id"] for f in features["features"]) == [x["id"] for x in json.loads(one["json"])["sites"]]
+    assert one["csv"].splitlines()[0].startswith("# geoloom") and one["csv"].splitlines()[-3].count(",") >= 22
+    export.write(sites.limit(0), "geojson", f"file://{tmp_path}/none", meta)
+    export.join_parts(spark, [f"file://{tmp_path}/none/geojson"], f"file://{tmp_path}/none.geojson")
+    assert json.loads((tmp_path / "none.geojson").read_text())["features"] == []
+    assert spark.read.parquet(f"file://{tmp_path}/d/counts").first().source_records == 3
     assert export.slim(sites).count() == 3
     with pytest.raises(ValueError):
         export.write(sites, "pdf", f"file://{tmp_path}/y", meta)
@@ -183,3 +193,24 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     assert spark.read.parquet(f"file://{tmp_path}/store/records").count() == 3
     assert spark.read.parquet(f"file://{tmp_path}/store/touched").count() == 27
+
+
+def test_refresh_equals_resolving_all(spark, tmp_path):
+    """Batches that join, extend and leave alone old clusters give the sites of one run over all records."""
+    import random
+
+    from geoloom.operators.resolve import resolve
+
+    rng, rows = random.Random(6), []
+    for k in range(120):
+        place = rng.randrange(25)
+        rows.append((k, rng.choice(["osm", "nsw", "vic"]), str(k), -33.8 + (place % 5) * 0.004 + rng.random() * 0.0012, 151.0 + (place // 5) * 0.004 + rng.random() * 0.0012, rng.choice(["Evie Networks", "Tesla", None]), f"2026-01-0{1 + k % 5}"))
+    d = conform(spark.createDataFrame(rows, "rid long, source_id string, source_record_id string, lat double, lng double, operator string, fetched_at string"), RECORD)
+    store = f"file://{tmp_path}/store"
+    for version, part in enumerate((d.where("rid < 70"), d.where("rid BETWEEN 70 AND 71"), d.where("rid > 71"))):
+        part.write.parquet(f"{store}/records/batch={version}")
+        streaming.touched_cells(part).write.parquet(f"{store}/touched/batch={version}")
+        got = streaming.refresh(spark, store, version)
+        want, _ = resolve(d.where(f"rid < {(70, 72, 1000)[version]}"))
+        key = lambda x: sorted((r.cluster_id, r.id, r.lat, r.lng, r.operator, r.source_count, r.confidence) for r in x.collect())
+        assert key(got) == key(want) and want.count() > 10
