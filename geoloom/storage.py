@@ -17,10 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
     The folder is the one named by ``spark.checkpoint.dir``; only where that
-    setting is missing (tests, a single machine) one is made under /tmp.
+    setting is missing and the session runs on one machine one is made under /tmp.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share: {master} has no common /tmp")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     path = f"{base.rstrip('/')}/geoloom-{uuid.uuid4().hex}"
     _made.append(path)
