@@ -15,12 +15,21 @@ from geoloom.llm.common import materialize, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MODEL = "piece_bpe_32k.model"
+#: Share of the probability that a document's language must have.
+LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language; a missing label is filled with the prediction."""
-    d = langid.identify(docs.select(*COLUMNS), langid.fit(docs))
-    d = d.where(F.col("lang_pred") != langid.UNKNOWN)
+    """Drop documents in none of the learned languages; a missing label is filled with the prediction.
+
+    Rejected are texts without a letter and those whose predicted language has
+    less than LEAST_SCORE of the probability over the whole text.  Without any
+    labelled document there is nothing to predict, and all stay.
+    """
+    model = langid.fit(docs)
+    if model is None:
+        return docs.select(*COLUMNS)
+    d = langid.identify(docs.select(*COLUMNS), model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return d.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
