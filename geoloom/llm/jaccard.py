@@ -30,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.llm import arrowbytes, shingles
@@ -201,17 +201,16 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
-    """Spanning edges (a, b) of candidate pairs among classes (cid, n, prefix, bitmap)."""
-    from pyspark.sql import Window
-
-    post = reps.select("cid", F.explode("prefix").alias("token"))
+    """Spanning edges (a, b) of candidate pairs among classes (cid, k1, k2, n, prefix, bitmap)."""
+    # a class is told by its key: texts of one id may be several classes
+    post = reps.select("cid", F.xxhash64("k1", "k2", "n").alias("class"), F.explode("prefix").alias("token"))
     group = Window.partitionBy("token")
     post = post.withColumn("cnt", F.count("*").over(group)).where("cnt > 1")
-    post = materialize(post.withColumn("sig", F.expr("bit_xor(xxhash64(cid)) over (partition by token)")))
+    post = materialize(post.withColumn("sig", F.expr("bit_xor(xxhash64(class)) over (partition by token)")))
     # tokens with the same members are one group
     kept = post.groupBy("sig", "cnt").agg(F.min("token").alias("token")).select(F.col("token").alias("kept"))
-    post = post.join(kept, post.token == kept.kept, "left_semi").select("token", "cid", "cnt")
-    rows = post.join(reps.select("cid", "n", "bitmap"), "cid")
+    post = post.join(kept, post.token == kept.kept, "left_semi").select("token", "class", "cnt")
+    rows = post.join(reps.select("cid", F.xxhash64("k1", "k2", "n").alias("class"), "n", "bitmap"), "class").drop("class")
     dealt = _tiles(rows, "token", percent).repartition("tile").sortWithinPartitions("tile")
 
     def run(batches):
@@ -277,8 +276,8 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
     classes = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("cid"))
     classes = materialize(classes)
     ids = classes.select(F.col("cid").alias("rep"), "k1", "k2")
-    reps = sig.join(ids, (sig.doc_id == ids.rep) & (sig.k1 == ids.k1) & (sig.k2 == ids.k2), "left_semi").select(F.col("doc_id").alias("cid"), "n", "prefix", "bitmap")
-    reps = reps.dropDuplicates(["cid"])  # repeated rows are one node: members of a token are keyed by an exclusive or
+    reps = sig.join(ids, (sig.doc_id == ids.rep) & (sig.k1 == ids.k1) & (sig.k2 == ids.k2), "left_semi").select(F.col("doc_id").alias("cid"), "k1", "k2", "n", "prefix", "bitmap")
+    reps = reps.dropDuplicates(["cid", "k1", "k2", "n"])  # one row a class: members of a token are keyed by an exclusive or
     maybe = connected_components(candidate_edges(reps, percent))
     sizes = maybe.groupBy("component").agg(F.count("*").alias("cnt"))
     families = maybe.join(sizes, "component").select(F.col("node").alias("cid"), F.col("component").alias("family"), "cnt")
@@ -291,7 +290,37 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its component; rows with a null id stay."""
-    c = similar_components(docs, size, percent, doc_id, text)
-    keep = materialize(c.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct())
-    return docs.join(keep, docs[doc_id] == keep.keep_id, "left").where(F.col("keep_id").isNotNull() | docs[doc_id].isNull()).drop("keep_id")
+    """One document of each component: that of the smallest id, with the columns of ``docs``.
+
+    Rows equal in id and text stay once.  A row with a null id takes part under
+    an id of its text's hash, beyond all usual ones, so exact copies of it are one
+    document and it goes where a near copy has an id.  Documents without words
+    link with nothing and stay.
+    """
+    key = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)).bitwiseAND((1 << 62) - 1).bitwiseOR(F.lit(1 << 62)))
+    keyed = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))
+    told = F.col("row")[text]
+    c = similar_components(keyed.select("key", told.alias("text")), size, percent, "key", "text")
+    keep = materialize(c.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct())
+    # the join and the choice among repeated rows ask for the same exchange
+    kept = keyed.join(keep.hint("merge"), "key", "left_semi")
+    same = Window.partitionBy("key").orderBy(F.xxhash64(told))
+    return kept.withColumn("again", F.row_number().over(same) - F.rank().over(same)).where("again = 0").select("row.*")
+
+
+#: The rows of ``similar_components`` for ``size`` 4 and ``percent`` 85: sets of shingles, pairs by common shingles, reachable ids.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS rn, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT rn, doc_id, g FROM (
+    SELECT rn, doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FROM (SELECT rn, doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4)
+    UNION ALL SELECT rn, doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3)),
+n AS (SELECT rn, doc_id, count(*) AS n FROM s GROUP BY ALL),
+common AS (SELECT a.rn AS a, b.rn AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rn < b.rn GROUP BY ALL),
+link AS (SELECT x.doc_id AS a, y.doc_id AS b FROM common JOIN n x ON x.rn = a JOIN n y ON y.rn = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT DISTINCT doc_id AS v, doc_id AS r FROM d WHERE doc_id IS NOT NULL UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.v WHERE reach.r < e.b),
+best AS (SELECT v, min(r) AS component_id FROM reach GROUP BY v)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, best.component_id FROM d LEFT JOIN n USING (rn) LEFT JOIN best ON best.v = d.doc_id
+"""

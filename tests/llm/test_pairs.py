@@ -68,7 +68,8 @@ def test_jaccard_empty_and_choice(empty, docs):
     assert jaccard.similar_components(empty, 4, 85).count() == 0
     kept = jaccard.one_of_each(docs)
     ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == docs.columns and None in ids and 5 in ids and 6 not in ids and 7 not in ids and 0 in ids and 1 in ids
+    # the row without an id is a near copy of 5 and goes; null and wordless texts with ids stay
+    assert kept.columns == docs.columns and None not in ids and len(ids) == len(set(ids)) and 5 in ids and 6 not in ids and 7 not in ids and 0 in ids and 1 in ids
 
 
 def brute_repeats(texts, length):
@@ -233,6 +234,20 @@ def test_long_item(spark):
     assert set(got) == {(1, 7), (2, 8)} and got[2, 8] == 1 and 0 < got[1, 7] <= 900
 
 
+def test_jaccard_texts_of_one_id(spark):
+    """An id with two texts links through both, and rows without an id are documents of their own."""
+    a, b, c = ([f"{x}{j}" for j in range(60)] for x in "abc")
+    near = lambda w, k: " ".join([*w[:-1], f"end{k}"])
+    rows = [(5, near(a, 0)), (5, near(b, 0)), (7, near(a, 1)), (8, near(b, 1)), (9, near(c, 0)), (None, near(c, 1)), (None, near(c, 1)), (None, "alone " + " ".join(a[:20])), (None, None), (11, ""), (11, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(d, 4, 85).collect() if r.doc_id is not None}
+    assert got == {5: 5, 7: 5, 8: 5, 9: 9, 11: 11}
+    clash = d.selectExpr("doc_id", "text", "1 AS keep_id", "2 AS key", "3 AS again")
+    kept = jaccard.one_of_each(clash, 4, 85)
+    assert kept.columns == clash.columns
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in kept.collect()) == sorted([(5, near(a, 0)), (5, near(b, 0)), (9, near(c, 0)), (-1, "alone " + " ".join(a[:20])), (-1, ""), (11, "")])
+
+
 def test_jaccard_table_with_itself(spark):
     """Every row twice: pairs of near copies stay linked."""
     rows = []
