@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from geoloom.llm import decontaminate, jaccard, langid, licenses, quality, repeats, secrets, sentencepieces, tokenfiles, toxicity
-from geoloom.llm.common import held_out, read
+from geoloom.llm.common import held_out, materialize, read
 
 
 def op1_quality_rules(spark, sf_dir):
@@ -15,7 +15,7 @@ def op1_quality_rules(spark, sf_dir):
 
 def op2_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.training_rows(docs, read(spark, sf_dir, "labels")).cache())
+    model = toxicity.fit(materialize(toxicity.training_rows(docs, read(spark, sf_dir, "labels"))))
     d = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return toxicity.score(d, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -69,4 +69,10 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_files": op10_token_files,
 }
-ORACLES = {"op1_quality_rules": quality.ORACLE, "op3_secret_scans": secrets.oracle_sql(), "op7_license_scans": licenses.oracle_sql()}
+ORACLES = {
+    "op1_quality_rules": quality.ORACLE,
+    "op3_secret_scans": secrets.oracle_sql(),
+    "op4_suffix_dedup": repeats.ORACLE,
+    "op5_ngram_jaccard": jaccard.ORACLE,
+    "op7_license_scans": licenses.oracle_sql(),
+}

@@ -359,3 +359,18 @@ def remove(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
             )
 
     return cover(docs, length, doc_id, text).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+#: The rows of ``remove`` with the kept bytes' digest, for DuckDB: every 200-byte window (400 hex digits) by its 64-bit hash.
+ORACLE = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rn, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT rn, i, hash(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT rn, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM d WHERE length(x) >= 400)),
+hit AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+mark AS (SELECT rn, i, sum(CASE WHEN i <= last + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rn ORDER BY i) AS run FROM (SELECT rn, i, lag(i, 1, -1000) OVER (PARTITION BY rn ORDER BY i) AS last FROM hit)),
+span AS (SELECT rn, run, min(i) AS a, max(i) + 200 AS b FROM mark GROUP BY ALL),
+gap AS (SELECT rn, lag(b, 1, 0) OVER (PARTITION BY rn ORDER BY a) AS a, a AS b FROM span UNION ALL SELECT rn, max(b), NULL FROM span GROUP BY rn),
+kept AS (SELECT rn, string_agg(substr(x, 2 * a + 1, coalesce(2 * (b - a), length(x))), '' ORDER BY a) AS x FROM gap JOIN d USING (rn) GROUP BY rn),
+n AS (SELECT rn, count(*) AS n_spans, sum(b - a) AS n_removed FROM span GROUP BY rn)
+SELECT doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN n USING (rn) LEFT JOIN kept USING (rn)
+"""

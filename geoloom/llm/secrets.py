@@ -121,17 +121,18 @@ def candidates(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str =
 
 
 def scan(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, spans array<struct<s, k, e>> per row, sorted by start, then rule; and the columns ``keep``."""
+    """doc_id, text, spans array<struct<s, k, e>> per row, sorted by start, then rule; and the columns ``keep``, but for ones named like these."""
+    keep = tuple(k for k in keep if k not in ("doc_id", "text", "spans"))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
-    c = candidates(docs, rules, doc_id, text).select(F.col("doc_id").alias("cand_id"), "mask")
-    j = d.join(c, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left").drop("cand_id")
+    c = candidates(docs, rules, doc_id, text).select(F.col("doc_id").alias("_candidate_id"), F.col("mask").alias("_candidate_rules"))
+    j = d.join(c, F.col("doc_id").eqNullSafe(F.col("_candidate_id")), "left").drop("_candidate_id")
     found = []
     for r, rule in enumerate(rules):
         if trigrams.query(rule.regex) is None:
             # a plain run of min_chars decides first whether spans are worked out
             gate = F.col("text").rlike(rule.regex[:-1] + f"{{{rule.min_chars},}}" if rule.regex.endswith("+") else rule.regex)
         else:
-            gate = F.coalesce(F.col("mask").bitwiseAND(1 << r), F.lit(0)) != 0
+            gate = F.coalesce(F.col("_candidate_rules").bitwiseAND(1 << r), F.lit(0)) != 0
             gate = gate & F.col("text").rlike(rule.regex)
         found.append(F.when(gate, _spans(F.col("text"), rule, r)).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>")))
     return j.select("doc_id", "text", *keep, F.sort_array(F.concat(*found)).alias("spans"))

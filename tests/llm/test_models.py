@@ -55,6 +55,25 @@ def test_folding():
     assert toxicity.fold("$tup1d") == toxicity.fold("Stupid") and toxicity.fold("Straße") != toxicity.fold("Strase")
 
 
+def test_hits_equal_a_plain_scan():
+    """The automaton against every entry tried at every place of many texts."""
+    rng = random.Random(3)
+    letters = "abc "
+    entries = {"".join(rng.choice("abc") for _ in range(rng.randrange(2, 5))): rng.random() + 0.1 for _ in range(25)}
+    phrases = frozenset(f"{a}{rng.choice('abc')} {b}" for a in list(entries)[:6] for b in list(entries)[6:12])
+    for exceptions in (frozenset(), phrases):
+        m = toxicity.Matcher(toxicity.Model(entries, exceptions))
+        for _ in range(300):
+            t = "".join(rng.choice(letters) for _ in range(rng.randrange(0, 60)))
+            want = []
+            for s in range(len(t)):
+                here = [e for e in entries if t.startswith(e, s)]
+                if here and (s == 0 or not t[s - 1].isalnum()) and not any(p in exceptions for p in toxicity.phrases(t, s)):
+                    best = max(here, key=len)
+                    want.append((s, s + len(best), entries[best]))
+            assert m.hits(t) == want
+
+
 def _labelled(spark, n=400):
     rng = random.Random(8)
     docs, labels = [], []

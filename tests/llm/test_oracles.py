@@ -2,10 +2,18 @@
 
 import pytest
 
-from geoloom.llm import licenses, quality, secrets
+from pyspark.sql import functions as F
+
+from geoloom.llm import jaccard, licenses, quality, repeats, secrets
 from geoloom.llm.queries import ORACLES, QUERIES
 
-RUN = {"op1_quality_rules": lambda d: quality.quality_rules(d), "op3_secret_scans": lambda d: secrets.digest(secrets.scan(d)), "op7_license_scans": lambda d: licenses.scan(d)}
+RUN = {
+    "op1_quality_rules": lambda d: quality.quality_rules(d),
+    "op3_secret_scans": lambda d: secrets.digest(secrets.scan(d)),
+    "op4_suffix_dedup": lambda d: repeats.remove(d).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")),
+    "op5_ngram_jaccard": lambda d: jaccard.similar_components(d, size=4, percent=85),
+    "op7_license_scans": lambda d: licenses.scan(d),
+}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
