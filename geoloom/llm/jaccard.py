@@ -11,10 +11,13 @@
    are cut into blocks that meet pair by pair, so no group is gathered whole.
    In a tile the bit count of two bitmaps' difference bounds the overlap from
    above; a spanning forest of the pairs that pass goes out.
-4. The connected candidates are families.  Their arrays meet in tiles of the
-   same kind, where each pair that passes the bitmap bound and is not linked
-   already gets the exact intersection of sorted arrays; again a spanning
-   forest of the true links goes out, and its components are the result.
+4. The connected candidates are families.  In a large one the pairs of the
+   forest are checked first, each on its own; where they are true links all over,
+   the family is one component and no more is asked.  The arrays of the other
+   families meet in tiles of the same kind, where each pair that passes the
+   bitmap bound and is not linked already gets the exact intersection of sorted
+   arrays; again a spanning forest of the true links goes out, and its components
+   are the result.
 
 Shingles are 64-bit hashes; sets are keyed by 128 bits.  No pair is dropped by a
 cap: blocks and bands only say where two documents meet.
@@ -42,6 +45,8 @@ from geoloom.operators.components import connected_components
 #: HOT_TOKENS entries at most.  Any choice is exact, it only shapes the tiles.
 HOT_DF, HOT_TOKENS = 64, 1 << 20
 BLOCK, SMALL = 1024, 128
+#: Pairs that one copy of a text's array serves.
+DEGREE = 256
 #: Bytes of text whose shingles are worked out at once.
 SLICE_BYTES = 1 << 20
 
@@ -146,8 +151,8 @@ def _tiles(rows: DataFrame, group: str, percent: int) -> DataFrame:
     return d.withColumn("tile", F.xxhash64(group, "tband", F.least("blk", "other"), F.greatest("blk", "other"))).drop("band", "tband", "blk", "other", "cnt")
 
 
-def _forest(cid: np.ndarray, n: np.ndarray, maps: list[bytes], percent: int, exact=None) -> list[tuple[int, int]]:
-    """Star edges (member, smallest member) of the components that passing pairs make.
+def _forest(cid: np.ndarray, n: np.ndarray, maps: list[bytes], percent: int, exact=None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Star edges (member, smallest member) of the components that passing pairs make, and the pairs that made them.
 
     ``exact(i, j)`` decides a pair that passed the bitmap bound; without it the
     bound decides.  Rows are compared in the order of their sizes, each with those
@@ -157,7 +162,7 @@ def _forest(cid: np.ndarray, n: np.ndarray, maps: list[bytes], percent: int, exa
     cid, n = cid[order], n[order]
     stop = np.searchsorted(n, n * 100 // percent, side="right")
     width = np.array([len(maps[k]) for k in order])  # grows with n
-    label = np.arange(len(cid))
+    label, pairs = np.arange(len(cid)), []
     for w in np.unique(width):
         # rows of this width meet each other and the larger ones at this width
         first, last = np.searchsorted(width, w), np.searchsorted(width, w, side="right")
@@ -172,9 +177,10 @@ def _forest(cid: np.ndarray, n: np.ndarray, maps: list[bytes], percent: int, exa
             for k in j.tolist():
                 if label[k] != label[i] and (exact is None or exact(order[i], order[k])):
                     label[label == label[k]] = label[i]
+                    pairs.append((int(cid[i]), int(cid[k])))
     least = np.full(len(cid), np.iinfo(np.int64).max)
     np.minimum.at(least, label, cid)
-    return [(c, m) for c, m in zip(cid.tolist(), least[label].tolist(), strict=True) if c != m]
+    return [(c, m) for c, m in zip(cid.tolist(), least[label].tolist(), strict=True) if c != m], pairs
 
 
 def _by_tile(batches, fields: list[str]):
@@ -196,12 +202,17 @@ def _by_tile(batches, fields: list[str]):
         yield pa.Table.from_batches(held)
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def _edges(star: list[tuple[int, int]], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    found = [*star, *pairs]
+    ends = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([*ends, pa.array([False] * len(star) + [True] * len(pairs))], names=["a", "b", "pair"])
 
 
 def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
-    """Spanning edges (a, b) of candidate pairs among classes (cid, k1, k2, n, prefix, bitmap)."""
+    """Spanning edges (a, b, pair) of candidate pairs among classes (cid, k1, k2, n, prefix, bitmap).
+
+    ``pair`` marks pairs that passed the bound; the other edges are stars over the same components.
+    """
     # a class is told by its key: texts of one id may be several classes
     post = reps.select("cid", F.xxhash64("k1", "k2", "n").alias("class"), F.explode("prefix").alias("token"))
     group = Window.partitionBy("token")
@@ -217,11 +228,70 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
         for t in _by_tile(batches, []):
             if t.num_rows < 2:
                 continue
-            found = _forest(t["cid"].to_numpy(), t["n"].to_numpy(), t["bitmap"].to_pylist(), percent)
+            star, pairs = _forest(t["cid"].to_numpy(), t["n"].to_numpy(), t["bitmap"].to_pylist(), percent)
+            if star:
+                yield _edges(star, pairs)
+
+    return dealt.mapInArrow(run, "a long, b long, pair boolean").distinct()
+
+
+def true_pairs(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts are linked, each checked on its own: no task holds more than a few pairs' arrays.
+
+    An id of several texts is linked by any of them.
+    """
+    ends = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("doc_id")), F.struct(F.lit(1).alias("side"), F.col("b").alias("doc_id")))).alias("e"))
+    ends = materialize(ends.select("a", "b", "e.side", "e.doc_id"))
+    # a text that many pairs ask for is dealt to several places
+    asked = ends.groupBy("doc_id").agg(F.ceil(F.count("*") / DEGREE).cast("int").alias("places"))
+    ends = ends.join(asked.hint("merge"), "doc_id").withColumn("place", F.pmod(F.xxhash64("a", "b"), F.col("places")).cast("int")).drop("places")
+
+    def arrays(batches):
+        for b in batches:
+            raw, off = arrowbytes.flat(b.column(1))
+            for x, y in arrowbytes.slices(off, SLICE_BYTES):
+                h, count = shingles.sets(raw[off[x] : off[y]], off[x : y + 1] - off[x], size)
+                at = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), b.column(2).slice(x, y - x), pa.ListArray.from_arrays(at, pa.array(h.view(np.int64)))], names=["doc_id", "places", "h"])
+
+    wanted = texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "places")
+    held = wanted.mapInArrow(arrays, "doc_id long, places int, h array<long>").where(F.size("h") > 0)
+    held = held.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places")
+    sides = ends.join(held, ["doc_id", "place"]).select(F.xxhash64("a", "b").alias("tile"), "a", "b", "side", "h")
+    dealt = sides.repartition("tile").sortWithinPartitions("tile", "a", "b", "side")
+
+    def run(batches):
+        for t in _by_tile(batches, []):
+            a, b, side, h = t["a"].to_numpy(), t["b"].to_numpy(), t["side"].to_numpy(), t["h"].combine_chunks()
+            sets = [h[k].values.to_numpy().view(np.uint64) for k in range(len(h))]
+            found = set()
+            for i in np.flatnonzero(side == 0).tolist():
+                for j in np.flatnonzero((side == 1) & (a == a[i]) & (b == b[i])).tolist():
+                    p = np.searchsorted(sets[j], sets[i])
+                    overlap = int((sets[j][np.minimum(p, len(sets[j]) - 1)] == sets[i]).sum())
+                    if _pairs_ok(len(sets[i]), len(sets[j]), overlap, percent):
+                        found.add((int(a[i]), int(b[i])))
             if found:
-                yield _edges(found)
+                yield _edges(sorted(found), [])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, pair boolean").drop("pair")
+
+
+def _settle_large(texts: DataFrame, edges: DataFrame, families: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(families still to be compared, true edges of the settled ones).
+
+    Large families whose candidate pairs are true links all over are settled.
+    """
+    large = materialize(families.where(F.col("cnt") > SMALL))
+    if large.isEmpty():
+        return families, edges.where("false").select("a", "b")
+    ask = edges.where("pair").join(large.select(F.col("cid").alias("a")), "a", "left_semi").select("a", "b")
+    true = materialize(true_pairs(texts, ask, size, percent))
+    part = connected_components(true)
+    j = large.join(part, large.cid == part.node, "left").select("family", F.coalesce("component", "cid").alias("part"))
+    one = materialize(j.groupBy("family").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x = y").select("family"))
+    settled = large.join(one, "family", "left_semi").select(F.col("cid").alias("a"), F.col("family").alias("b"))
+    return families.join(one, "family", "left_anti"), settled
 
 
 def true_edges(texts: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
@@ -258,11 +328,11 @@ def true_edges(texts: DataFrame, families: DataFrame, size: int, percent: int) -
                 overlap = int((b[np.minimum(p, len(b) - 1)] == a).sum())
                 return _pairs_ok(int(n[i]), int(n[j]), overlap, percent)
 
-            found = _forest(t["cid"].to_numpy(), n, t["bitmap"].to_pylist(), percent, exact)
-            if found:
-                yield _edges(found)
+            star, _ = _forest(t["cid"].to_numpy(), n, t["bitmap"].to_pylist(), percent, exact)
+            if star:
+                yield _edges(star, [])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, pair boolean").drop("pair")
 
 
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,10 +348,12 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
     ids = classes.select(F.col("cid").alias("rep"), "k1", "k2")
     reps = sig.join(ids, (sig.doc_id == ids.rep) & (sig.k1 == ids.k1) & (sig.k2 == ids.k2), "left_semi").select(F.col("doc_id").alias("cid"), "k1", "k2", "n", "prefix", "bitmap")
     reps = reps.dropDuplicates(["cid", "k1", "k2", "n"])  # one row a class: members of a token are keyed by an exclusive or
-    maybe = connected_components(candidate_edges(reps, percent))
+    edges = materialize(candidate_edges(reps, percent))
+    maybe = connected_components(edges.where("NOT pair"))
     sizes = maybe.groupBy("component").agg(F.count("*").alias("cnt"))
-    families = maybe.join(sizes, "component").select(F.col("node").alias("cid"), F.col("component").alias("family"), "cnt")
-    found = connected_components(true_edges(texts, families, size, percent))
+    families = materialize(maybe.join(sizes, "component").select(F.col("node").alias("cid"), F.col("component").alias("family"), "cnt"))
+    families, settled = _settle_large(texts, edges, families, size, percent)
+    found = connected_components(true_edges(texts, families, size, percent).unionByName(settled))
     named = classes.join(found, classes.cid == found.node, "left").select("k1", "k2", "n", F.coalesce("component", "cid").alias("comp"))
     s, c = sig.select("doc_id", "n", "k1", "k2").alias("s"), named.alias("c")
     joined = s.join(c, (F.col("s.k1") == F.col("c.k1")) & (F.col("s.k2") == F.col("c.k2")) & (F.col("s.n") == F.col("c.n")), "left")

@@ -46,10 +46,14 @@ def test_jaccard(docs, monkeypatch, size, percent, block, small):
     assert all(r.component_id is None for r in got if r.doc_id is None)
 
 
-def test_jaccard_many_variants(spark):
-    """A family in which some pairs link and others do not."""
+@pytest.mark.parametrize("small, degree", [(128, 256), (8, 256), (8, 3)])
+def test_jaccard_many_variants(spark, monkeypatch, small, degree):
+    """A family in which some pairs link and others do not, and one in which all do."""
     import random
 
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "DEGREE", degree)
+
     rng = random.Random(2)
     base = [f"w{k}" for k in range(120)]
     rows = []
@@ -58,9 +62,11 @@ def test_jaccard_many_variants(spark):
         for _ in range(rng.randrange(0, 9)):
             w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
+    tight = [f"t{k}" for k in range(150)]
+    rows += [(100 + i, " ".join([*tight[: 3 * i], f"x{i}", *tight[3 * i + 1 :]])) for i in range(40)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute_components(rows, 4, 85)
-    assert 1 < len(set(want.values())) < 60
+    assert 2 < len(set(want.values())) < 60 and {want[k] for k in range(100, 140)} == {100}
     assert {r.doc_id: r.component_id for r in jaccard.similar_components(d, 4, 85).collect()} == want
 
 
