@@ -13,6 +13,7 @@ are replaced.
 
 from __future__ import annotations
 
+import logging
 from functools import lru_cache
 
 import numpy as np
@@ -97,7 +98,7 @@ class Vocabulary:
         return out, total[e] - total[e - counts]
 
     def checked(self, words: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``agenda`` compared with the library, whose ids replace differing ones."""
+        """``agenda`` compared with the library; where they differ, a warning says so and the library's ids are kept."""
         ids, counts = self.agenda(words, lens)
         text = words.tobytes()
         ends = np.cumsum(lens)
@@ -109,6 +110,8 @@ class Vocabulary:
         if len(flat) + int(counts[lone].sum()) == len(ids) and (n == np.where(lone, 0, counts)).all() and (flat == ids[np.repeat(~lone, counts)]).all():
             return ids, counts
         own = np.split(ids, np.cumsum(counts)[:-1])
+        differ = sum(not alone and o.tolist() != t for o, t, alone in zip(own, theirs, lone, strict=True))
+        logging.getLogger(__name__).warning("the agenda differs from the library on %d of %d segments; the library's ids are kept", differ, len(own))
         both = [o if alone else np.array(t, np.int32) for o, t, alone in zip(own, theirs, lone, strict=True)]
         return np.concatenate(both), np.array([len(b) for b in both], np.int64)
 
