@@ -126,6 +126,7 @@ def connector_standard(x: Column) -> Column:
     )
 
 
+# What stands for no rating; a rating is an optional count and x, a number, an optional unit.
 _BARE_RATING = r"(?i)^(ac|dc|ac/dc|type\s*2|unknown|n/a|na|tbc|upcoming)$"
 _RATING = r"(?i)(?:([0-9]+)\s*[x×]\s*)?([0-9]+(?:\.[0-9]+)?)\s*(kw|kilowatt|mw)?"
 
@@ -144,8 +145,8 @@ def power_rating(x: Column) -> Column:
     groups = F.when((t == "") | t.rlike(_BARE_RATING), F.array().cast("array<struct<count:int,kw:double>>")).otherwise(F.filter(found, lambda g: (g["kw"] >= 1) & (g["kw"] <= 1000)))
     note = (
         F.when(t == "", F.lit(None).cast("string"))
-        .when(t.rlike(_BARE_RATING), F.concat(F.lit('no rating (value was "'), t, F.lit('")')))
-        .when(F.size(groups) == 0, F.concat(F.lit('unparsed rating "'), t, F.lit('"')))
+        .when(t.rlike(_BARE_RATING), F.concat(F.lit('states no rating, only "'), t, F.lit('"')))
+        .when(F.size(groups) == 0, F.concat(F.lit('cannot read the rating "'), t, F.lit('"')))
     )
     return F.struct(groups.alias("groups"), F.array_max(F.transform(groups, lambda g: g["kw"])).alias("max_kw"), note.alias("note"))
 
@@ -313,6 +314,7 @@ def _char(code: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(octets, lambda b: F.lpad(F.hex(b), 2, "0")), "")), "UTF-8")
 
 
+# The URL parameters that hold secrets, and the variable parts of issue messages.
 def redact_url(x: Column) -> Column:
     """Values of key-like URL parameters replaced."""
     return F.regexp_replace(x, r"(?i)([?&](?:key|apikey|api_key|token|access_token)=)[^&]*", "$1REDACTED")

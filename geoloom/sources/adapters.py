@@ -112,9 +112,9 @@ class Nsw(Source):
             _extra(lga=text.clean_text(c("LGANAME")), programme=text.clean_text(c("Source")), charger_type=text.clean_text(c("Charger_Type")), rating_raw=text.clean_text(c("Charger_rating"))).alias("extra"),
             quality.rejection(lat, lng).alias("_why"),
             _issues(
-                ("data_gap", F.startswith(F.col("_p.note"), F.lit("no rating")), F.concat(F.lit("power: "), F.col("_p.note"))),
-                ("parse_failure", F.startswith(F.col("_p.note"), F.lit("unparsed")), F.concat(F.lit("power: "), F.col("_p.note"))),
-                ("status_flag", planned, F.lit("planned/unbuilt site (Charger_Type=Upcoming)")),
+                ("data_gap", F.startswith(F.col("_p.note"), F.lit("states no")), F.concat(F.lit("power: "), F.col("_p.note"))),
+                ("parse_failure", F.startswith(F.col("_p.note"), F.lit("cannot read")), F.concat(F.lit("power: "), F.col("_p.note"))),
+                ("status_flag", planned, F.lit("not built yet: Charger_Type says Upcoming")),
             ).alias("_issues"),
         )
 
@@ -220,9 +220,9 @@ class Vic(Source):
             _extra(**{k: text.clean_text(p(k)) for k in ("location", "region", "lead_organisation", "nearby_amenities_attractions", "dcav_site", "plug_type", "chargers", "plugshare_link")}).alias("extra"),
             F.when(~geo.in_country(lat, lng), "missing or invalid coordinates").alias("_why"),
             _issues(
-                ("parse_failure", (F.size("_c") == 0) & text.clean_text(p("plug_type")).isNotNull(), F.concat(F.lit('unparsed plug_type "'), p("plug_type"), F.lit('"'))),
-                ("parse_failure", due.isNotNull() & done.isNull(), F.concat(F.lit('unparseable estimated_project_completion "'), due, F.lit('"'))),
-                ("status_flag", status == "planned", F.concat(F.lit("planned/unbuilt site (completion due "), due, F.lit(")"))),
+                ("parse_failure", (F.size("_c") == 0) & text.clean_text(p("plug_type")).isNotNull(), F.concat(F.lit('cannot read the plugs "'), p("plug_type"), F.lit('"'))),
+                ("parse_failure", due.isNotNull() & done.isNull(), F.concat(F.lit('cannot read the completion date "'), due, F.lit('"'))),
+                ("status_flag", status == "planned", F.concat(F.lit("not built yet: due "), due)),
             ).alias("_issues"),
         )
 
@@ -286,6 +286,7 @@ class Act(_Geocoded):
     def stated_totals(page: DataFrame) -> DataFrame:
         """chargers and bays that the page states of itself; null if it does not."""
         plain = text.html_text(F.regexp_replace("html", r"(?is)<script.*?</script>", ""))
+        # The sentence in which the page counts its chargers.
         said = r"(?i)As of [A-Za-z]+ [0-9]{4},?\s*([0-9]+)\s+public EV chargers?\s+with\s+([0-9]+)\s+charging bays"
         return page.select(*[F.regexp_extract(plain, said, k).try_cast("long").alias(n) for k, n in ((1, "chargers"), (2, "bays"))])
 
@@ -302,6 +303,7 @@ class Act(_Geocoded):
         r = self.rows(self._page(spark, path))
         cell = lambda k: F.get("cells", F.lit(k))
         where = F.trim(F.regexp_replace(text.text_of(cell(4)), r"\s+", " "))
+        # A house number, a range or a letter allowed, before a capitalised word.
         at = F.regexp_instr(where, F.lit(r"\b[0-9]+[a-zA-Z]?(?:\s*[-/]\s*[0-9]+)?\s+[A-Z]"))
         name = F.when(at > 1, F.nullif(F.regexp_replace(F.substring(where, F.lit(1), at - 1), r"[,\s]+$", ""), F.lit(""))).otherwise(F.nullif(F.trim(F.get(F.split(where, ","), F.lit(0))), F.lit("")))
         r = r.select("i", "cells", F.coalesce("label", F.lit("ACT")).alias("district"), name.alias("name"), F.nullif(F.when(at > 1, F.substring(where, at, F.length(where))).otherwise(where), F.lit("")).alias("addr"))
@@ -318,9 +320,9 @@ class Act(_Geocoded):
             _place(text.address_of(F.col("addr")), "ACT").alias("address"), F.col("_c").alias("connectors"), F.nullif(cell(1).try_cast("int"), F.lit(0)).alias("plug_count"), F.col("_kw").alias("max_power_kw"), F.lit("unknown").alias("status"), F.lit("public").alias("access"), F.lit(True).alias("geocoded"),
             _extra(district=F.col("district"), charger_count=cell(0), bay_count=cell(1), charger_type=cell(2), plug_type=cell(3), location=cell(4), geocode_match=F.col("fix.display_name")).alias("extra"), why.alias("_why"),
             _issues(
-                ("parse_failure", F.col("_kw").isNull() & (text.text_of(cell(2)) != ""), F.concat(F.lit('unparsed charger type "'), cell(2), F.lit('"'))),
-                ("parse_failure", (F.size("_c") == 0) & (text.text_of(cell(3)) != ""), F.concat(F.lit('unparsed plug type "'), cell(3), F.lit('"'))),
-                ("status_flag", F.lit(True), F.lit("status unknown: the page reports funding, not delivery")),
+                ("parse_failure", F.col("_kw").isNull() & (text.text_of(cell(2)) != ""), F.concat(F.lit('cannot read the charger type "'), cell(2), F.lit('"'))),
+                ("parse_failure", (F.size("_c") == 0) & (text.text_of(cell(3)) != ""), F.concat(F.lit('cannot read the plugs "'), cell(3), F.lit('"'))),
+                ("status_flag", F.lit(True), F.lit("the page names what was funded, not what was built")),
             ).alias("_issues"),
         )
 
@@ -350,6 +352,7 @@ class Tas(_Geocoded):
         r = self.rows(self._page(spark, path)).where(~F.col("is_total"))
         cell = lambda k: F.get("cells", k if isinstance(k, Column) else F.lit(k))
         place = text.html_text(cell(F.col("at")))
+        # How a row counts its chargers.
         note = r"(?i)\((one|two|three|four|five|[0-9]+)\s+chargers?\)"
         said = F.lower(F.regexp_extract(text.text_of(cell(0)), note, 1))
         words = F.create_map(*[F.lit(x) for k, v in enumerate(("one", "two", "three", "four", "five"), 1) for x in (v, k)])
@@ -369,7 +372,7 @@ class Tas(_Geocoded):
             F.when(kind.isNotNull(), F.array(_connectors(standard=kind, count=F.lit(None), power=F.lit(None)))).otherwise(F.array().cast(CONNECTORS)).alias("connectors"), F.coalesce(F.try_element_at(words, said), said.try_cast("int")).alias("plug_count"),
             F.lit("unknown").alias("status"), F.lit("unknown").alias("access"), F.lit(True).alias("geocoded"), F.lit(text.BY_LOCALITY).alias("position_precision"),
             _extra(round=F.col("label"), amount=text.money(F.element_at("cells", -1)), town=F.col("town"), qualifier=F.col("qualifier"), region=text.clean_text(cell(F.col("at") + 1)), organisation=text.clean_text(cell(0)), geocode_match=F.col("fix.display_name")).alias("extra"), why.alias("_why"),
-            _issues(("status_flag", F.lit(True), F.lit("status unknown: the page reports funding, not delivery")), ("data_gap", F.lit(True), F.concat(F.lit('town-level position only ("'), "town", F.lit('")')))).alias("_issues"),
+            _issues(("status_flag", F.lit(True), F.lit("the page names what was funded, not what was built")), ("data_gap", F.lit(True), F.concat(F.lit('town-level position only ("'), "town", F.lit('")')))).alias("_issues"),
         )
 
 
