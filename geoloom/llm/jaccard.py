@@ -11,13 +11,14 @@
    are cut into blocks that meet pair by pair, so no group is gathered whole.
    In a tile the bit count of two bitmaps' difference bounds the overlap from
    above; a spanning forest of the pairs that pass goes out.
-4. The connected candidates are families.  In a large one the pairs of the
-   forest are checked first, each on its own; where they are true links all over,
-   the family is one component and no more is asked.  The arrays of the other
-   families meet in tiles of the same kind, where each pair that passes the
-   bitmap bound and is not linked already gets the exact intersection of sorted
-   arrays; again a spanning forest of the true links goes out, and its components
-   are the result.
+4. The connected candidates are families.  Their arrays meet in tiles of the
+   same kind, where each pair that passes the bitmap bound and is not linked
+   already gets the exact intersection of sorted arrays; again a spanning forest
+   of the true links goes out, and its components are the result.
+5. In a family of more than LARGE classes all blocks meeting all blocks would
+   grow with its square.  There the pairs of the forest are checked first, each
+   on its own.  What they link to the family's main part needs no more
+   comparing; only the classes left over meet each other and the main part.
 
 Shingles are 64-bit hashes; sets are keyed by 128 bits.  No pair is dropped by a
 cap: blocks and bands only say where two documents meet.
@@ -35,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoloom.llm import arrowbytes, shingles
 from geoloom.llm.common import materialize
@@ -45,8 +47,8 @@ from geoloom.operators.components import connected_components
 #: HOT_TOKENS entries at most.  Any choice is exact, it only shapes the tiles.
 HOT_DF, HOT_TOKENS = 64, 1 << 20
 BLOCK, SMALL = 1024, 128
-#: Pairs that one copy of a text's array serves.
-DEGREE = 256
+#: Classes from which a family is settled by pairs first, and pairs that one copy of a text's array serves.
+LARGE, DEGREE = 4 * BLOCK, 256
 #: Bytes of text whose shingles are worked out at once.
 SLICE_BYTES = 1 << 20
 
@@ -151,18 +153,21 @@ def _tiles(rows: DataFrame, group: str, percent: int) -> DataFrame:
     return d.withColumn("tile", F.xxhash64(group, "tband", F.least("blk", "other"), F.greatest("blk", "other"))).drop("band", "tband", "blk", "other", "cnt")
 
 
-def _forest(cid: np.ndarray, n: np.ndarray, maps: list[bytes], percent: int, exact=None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def _forest(cid: np.ndarray, n: np.ndarray, maps: list[bytes], percent: int, exact=None, joined=None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Star edges (member, smallest member) of the components that passing pairs make, and the pairs that made them.
 
     ``exact(i, j)`` decides a pair that passed the bitmap bound; without it the
     bound decides.  Rows are compared in the order of their sizes, each with those
-    up to its size over the threshold.
+    up to its size over the threshold.  ``joined`` marks rows known to be one component.
     """
     order = np.lexsort((cid, n))
     cid, n = cid[order], n[order]
     stop = np.searchsorted(n, n * 100 // percent, side="right")
     width = np.array([len(maps[k]) for k in order])  # grows with n
     label, pairs = np.arange(len(cid)), []
+    if joined is not None:
+        one = np.flatnonzero(joined[order])
+        label[one] = one[:1]
     for w in np.unique(width):
         # rows of this width meet each other and the larger ones at this width
         first, last = np.searchsorted(width, w), np.searchsorted(width, w, side="right")
@@ -246,16 +251,8 @@ def true_pairs(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> D
     asked = ends.groupBy("doc_id").agg(F.ceil(F.count("*") / DEGREE).cast("int").alias("places"))
     ends = ends.join(asked.hint("merge"), "doc_id").withColumn("place", F.pmod(F.xxhash64("a", "b"), F.col("places")).cast("int")).drop("places")
 
-    def arrays(batches):
-        for b in batches:
-            raw, off = arrowbytes.flat(b.column(1))
-            for x, y in arrowbytes.slices(off, SLICE_BYTES):
-                h, count = shingles.sets(raw[off[x] : off[y]], off[x : y + 1] - off[x], size)
-                at = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), b.column(2).slice(x, y - x), pa.ListArray.from_arrays(at, pa.array(h.view(np.int64)))], names=["doc_id", "places", "h"])
-
     wanted = texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "places")
-    held = wanted.mapInArrow(arrays, "doc_id long, places int, h array<long>").where(F.size("h") > 0)
+    held = _with_sets(wanted, size).where("n > 0").drop("n", "bitmap")
     held = held.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places")
     sides = ends.join(held, ["doc_id", "place"]).select(F.xxhash64("a", "b").alias("tile"), "a", "b", "side", "h")
     dealt = sides.repartition("tile").sortWithinPartitions("tile", "a", "b", "side")
@@ -278,57 +275,88 @@ def true_pairs(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> D
 
 
 def _settle_large(texts: DataFrame, edges: DataFrame, families: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(families still to be compared, true edges of the settled ones).
-
-    Large families whose candidate pairs are true links all over are settled.
-    """
-    large = materialize(families.where(F.col("cnt") > SMALL))
+    """(families that all meet in tiles, true edges within the larger ones)."""
+    large = families.where(F.col("cnt") > LARGE)
     if large.isEmpty():
         return families, edges.where("false").select("a", "b")
     ask = edges.where("pair").join(large.select(F.col("cid").alias("a")), "a", "left_semi").select("a", "b")
-    true = materialize(true_pairs(texts, ask, size, percent))
-    part = connected_components(true)
-    j = large.join(part, large.cid == part.node, "left").select("family", F.coalesce("component", "cid").alias("part"))
-    one = materialize(j.groupBy("family").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x = y").select("family"))
-    settled = large.join(one, "family", "left_semi").select(F.col("cid").alias("a"), F.col("family").alias("b"))
-    return families.join(one, "family", "left_anti"), settled
+    part = connected_components(true_pairs(texts, ask, size, percent))
+    known = materialize(large.join(part, large.cid == part.node, "left").select("cid", "family", F.coalesce("component", "cid").alias("part")))
+    sizes = known.groupBy("family", "part").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("inside"), (F.sum("n") - F.max("n")).alias("outside"))
+    rest = known.join(main, "family").where("outside > 0").select("cid", "family", (F.col("part") != F.col("main")).alias("out"), "inside", "outside")
+    found = _left_over(texts, rest, size, percent).unionByName(known.select(F.col("cid").alias("a"), F.col("part").alias("b")))
+    return families.where(F.col("cnt") <= LARGE), found
+
+
+def _left_over(texts: DataFrame, rest: DataFrame, size: int, percent: int) -> DataFrame:
+    """True edges (a, b) of the classes outside their family's main part: with one another and with it."""
+    inside, outside = F.ceil(F.col("inside") / BLOCK).cast("int"), F.ceil(F.col("outside") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("cid", F.lit(5)), F.when(F.col("out"), outside).otherwise(inside)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    across = F.when(F.col("out"), F.transform(upto(inside), lambda i: F.xxhash64("family", F.lit(0), i, "blk"))).otherwise(F.transform(upto(outside), lambda o: F.xxhash64("family", F.lit(0), "blk", o)))
+    among = F.when(F.col("out"), F.transform(upto(outside), lambda o: F.xxhash64("family", F.lit(1), F.least(o, F.col("blk")), F.greatest(o, F.col("blk"))))).otherwise(F.array().cast("array<long>"))
+    d = rest.withColumn("blk", block).select(F.col("cid").alias("doc_id"), "out", F.concat(across, among).alias("tiles"))
+    got = _with_sets(texts.join(d.hint("merge"), "doc_id").select("doc_id", "text", "out", "tiles"), size).where("n > 0")
+    dealt = got.withColumn("tile", F.explode("tiles")).drop("tiles").repartition("tile").sortWithinPartitions("tile")
 
+    def run(batches):
+        for t in _by_tile(batches, []):
+            if t.num_rows < 2:
+                continue
+            n = t["n"].to_numpy()
+            _, pairs = _forest(t["doc_id"].to_numpy(), n, t["bitmap"].to_pylist(), percent, _exact(t, percent), ~t["out"].to_numpy())
+            if pairs:
+                yield _edges(pairs, [])
 
-def true_edges(texts: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
-    """Spanning edges of the true links within families (cid, family, cnt)."""
-    members = families.select(F.col("cid").alias("doc_id"), "family", "cnt")
-    rows = texts.join(members.hint("merge"), "doc_id").select("doc_id", "text", "family", "cnt")
+    return dealt.mapInArrow(run, "a long, b long, pair boolean").drop("pair")
+
+
+def _with_sets(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` (doc_id, text, ...) with n, bitmap and the sorted array h of the text's shingles instead of the text."""
+    others = [f for f in rows.schema.fields if f.name != "text"]
+    schema = T.StructType([*others, T.StructField("n", T.LongType()), T.StructField("bitmap", T.BinaryType()), T.StructField("h", T.ArrayType(T.LongType()))])
+    names = [f.name for f in schema.fields]
 
     def arrays(batches):
         for b in batches:
-            raw, off = arrowbytes.flat(b.column(1))
+            raw, off = arrowbytes.flat(b.column(b.schema.get_field_index("text")))
             for x, y in arrowbytes.slices(off, SLICE_BYTES):
                 h, count = shingles.sets(raw[off[x] : off[y]], off[x : y + 1] - off[x], size)
                 at = np.concatenate([[0], np.cumsum(count)])
                 maps = [bitmap(h[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(x, y - x), b.column(2).slice(x, y - x), b.column(3).slice(x, y - x), pa.array(count.astype(np.int64)), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))],
-                    names=["cid", "family", "cnt", "n", "bitmap", "h"],
-                )
+                kept = [b.column(b.schema.get_field_index(f.name)).slice(x, y - x) for f in others]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(count.astype(np.int64)), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))], names=names)
+
+    return rows.mapInArrow(arrays, schema)
+
+
+def _exact(t: pa.Table, percent: int):
+    """Whether rows i and j of a tile are truly linked, from their sorted arrays."""
+    h, n = t["h"].combine_chunks(), t["n"].to_numpy()
+    values, at = h.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(n)])
+
+    def exact(i, j):
+        a, b = values[at[i] : at[i + 1]], values[at[j] : at[j + 1]]
+        p = np.searchsorted(b, a)
+        overlap = int((b[np.minimum(p, len(b) - 1)] == a).sum())
+        return _pairs_ok(int(n[i]), int(n[j]), overlap, percent)
 
-    got = rows.mapInArrow(arrays, "cid long, family long, cnt long, n long, bitmap binary, h array<long>").where("n > 0")
+    return exact
+
+
+def true_edges(texts: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
+    """Spanning edges of the true links within families (cid, family, cnt)."""
+    members = families.select(F.col("cid").alias("doc_id"), "family", "cnt")
+    rows = texts.join(members.hint("merge"), "doc_id").select("doc_id", "text", "family", "cnt")
+    got = _with_sets(rows, size).where("n > 0").withColumnRenamed("doc_id", "cid")
     dealt = _tiles(got, "family", percent).repartition("tile").sortWithinPartitions("tile")
 
     def run(batches):
         for t in _by_tile(batches, []):
             if t.num_rows < 2:
                 continue
-            h = t["h"].combine_chunks()
-            values, at = h.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(t["n"].to_numpy())])
-            n = t["n"].to_numpy()
-
-            def exact(i, j):
-                a, b = values[at[i] : at[i + 1]], values[at[j] : at[j + 1]]
-                p = np.searchsorted(b, a)
-                overlap = int((b[np.minimum(p, len(b) - 1)] == a).sum())
-                return _pairs_ok(int(n[i]), int(n[j]), overlap, percent)
-
-            star, _ = _forest(t["cid"].to_numpy(), n, t["bitmap"].to_pylist(), percent, exact)
+            star, _ = _forest(t["cid"].to_numpy(), t["n"].to_numpy(), t["bitmap"].to_pylist(), percent, _exact(t, percent))
             if star:
                 yield _edges(star, [])
 

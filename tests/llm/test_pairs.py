@@ -46,13 +46,14 @@ def test_jaccard(docs, monkeypatch, size, percent, block, small):
     assert all(r.component_id is None for r in got if r.doc_id is None)
 
 
-@pytest.mark.parametrize("small, degree", [(128, 256), (8, 256), (8, 3)])
-def test_jaccard_many_variants(spark, monkeypatch, small, degree):
+@pytest.mark.parametrize("large, degree, block", [(4096, 256, 1024), (8, 256, 1024), (8, 3, 4), (30, 256, 7)])
+def test_jaccard_many_variants(spark, monkeypatch, large, degree, block):
     """A family in which some pairs link and others do not, and one in which all do."""
     import random
 
-    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "LARGE", large)
     monkeypatch.setattr(jaccard, "DEGREE", degree)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
 
     rng = random.Random(2)
     base = [f"w{k}" for k in range(120)]
