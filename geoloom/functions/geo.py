@@ -84,8 +84,9 @@ def in_box(lat: Column, lng: Column, box: tuple[float, float, float, float]) ->
     return lat.between(box[0], box[1]) & lng.between(box[2], box[3])
 
 
-def metres_per_pixel(lat: Column, zoom: int) -> Column:
-    return F.lit(MERCATOR_M_PER_PIXEL) * F.cos(F.radians(lat)) / float(2**zoom)
+def metres_per_pixel(lat: float, zoom: int) -> float:
+    """Ground length of a map's pixel at a latitude."""
+    return MERCATOR_M_PER_PIXEL * math.cos(math.radians(lat)) / 2**zoom
 
 
 def round_coord(x: Column, places: int = 6) -> Column:

@@ -231,7 +231,7 @@ def merge(records: DataFrame, membership: DataFrame, cfg: MatchConfig = MatchCon
     g = m.groupBy("cluster_id").agg(
         *picks,
         F.array_sort(F.collect_list(values)).alias("_values"),
-        F.collect_list(F.struct("lat", "lng")).alias("_points"),
+        F.collect_set(F.struct("lat", "lng")).alias("_points"),
         F.min(F.when(precision == text.SURVEYED, 0).when(precision == text.BY_ADDRESS, 1).otherwise(2)).alias("_precision"),
         F.array_sort(F.collect_list(F.struct("source_id", "rid", "source_record_id", "fetched_at", F.col("source_url").alias("url")))).alias("_sources"),
         F.count_distinct("source_id").cast("int").alias("source_count"),

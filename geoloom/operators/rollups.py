@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +73,7 @@ def operator_rollup(sites: DataFrame, listed_from: int = 5) -> DataFrame:
 
 def map_clusters(sites: DataFrame, zoom: int, center_lat: float, pixels: int = 70) -> DataFrame:
     """Grid cells of a map view (gy, gx): count and the site of the largest power, the smallest id at ties."""
-    cell_m = geo.MERCATOR_M_PER_PIXEL * math.cos(math.radians(center_lat)) / 2**zoom * pixels
+    cell_m = geo.metres_per_pixel(center_lat, zoom) * pixels
     row, col = geo.cell(F.col("lat"), F.col("lng"), cell_m)
     best = F.min_by("id", F.struct(-F.coalesce(F.col("max_power_kw"), F.lit(0.0)), F.col("id")))
     return sites.groupBy(row.alias("gy"), col.alias("gx")).agg(F.count("*").alias("n"), best.alias("best_id"))

@@ -272,6 +272,16 @@ def resolve_stats(spark, d):
     return resolve.resolve(records(spark, d))[1].select("input_records", "rejected", "sites", "pairs_considered", "links")
 
 
+SOME_REC_SQL = REC_SQL.replace("rec AS (", "all_rec AS (", 1) + ", rec AS (SELECT * FROM all_rec WHERE rid % 50 <> 0)"
+
+
+@query("resolution_counts", f"""WITH RECURSIVE {SOME_REC_SQL} {CLUSTER_SQL}, g AS (SELECT cluster_id, count(DISTINCT source_id) AS s, greatest(count(DISTINCT name), count(DISTINCT operator), count(DISTINCT max_power_kw), count(DISTINCT status)) AS v FROM rec JOIN cl USING (rid) GROUP BY 1)
+SELECT (SELECT count(*) FROM all_rec) AS input_records, (SELECT count(*) FROM all_rec WHERE rid % 50 = 0) AS rejected, count(*) AS sites, (SELECT count(*) FROM rec) - count(*) AS merged, count(*) FILTER (WHERE s > 1) AS multi_source_sites, count(*) FILTER (WHERE v > 1) AS sites_with_conflicts FROM g""")
+def resolution_counts(spark, d):
+    r = records(spark, d).withColumn("lat", F.when(F.col("rid") % 50 == 0, 95.0).otherwise(F.col("lat")))
+    return resolve.resolve(r)[1].select("input_records", "rejected", "sites", "merged", "multi_source_sites", "sites_with_conflicts")
+
+
 # --- rollups ------------------------------------------------------------------
 @query("coverage_summary", f"""WITH {SITES_SQL} SELECT count(*) AS sites, count(*) FILTER (WHERE {MAPPABLE}) AS mappable_sites, count(*) FILTER (WHERE NOT {MAPPABLE}) AS approximate_sites, CAST(sum(plug_count) AS BIGINT) AS plugs,
   round(count(*) FILTER (WHERE coalesce(name, '') <> '') / count(*), 4) AS with_name, round(count(*) FILTER (WHERE coalesce(max_power_kw, 0) <> 0) / count(*), 4) AS with_power, 0.0::DOUBLE AS with_connectors FROM sites""")

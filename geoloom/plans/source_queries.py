@@ -57,7 +57,7 @@ def csv_round_trip(spark, d):
 
 
 # --- NSW -----------------------------------------------------------------------
-def _nsw(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _nsw_file(spark: SparkSession, d: str) -> str:
     c, k = table(spark, d, "customer"), F.col("c_custkey")
     of = lambda n, *values: F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), (k % n + 1).cast("int"))
     out = k % 13 == 5
@@ -68,7 +68,11 @@ def _nsw(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     )
     lines = c.select("c_custkey", F.concat_ws(",", *[tabular.csv_cell(x) for x in cells]).alias("value"))
     head = "OBJECTID,Station_name,Station_address,PCODE,LGANAME,Latitude,Longitude,Operator,Charger_Type,Charger_rating,Number_of_plugs,Source\n"
-    return _id("nsw").read(spark, _files(lines, "c_custkey", head, "\n"), CTX)
+    return _files(lines, "c_custkey", head, "\n")
+
+
+def _nsw(spark, d):
+    return _id("nsw").read(spark, _nsw_file(spark, d), CTX)
 
 
 NSW_SQL = """n AS (SELECT c_custkey AS k, c_name, c_mktsegment, (['dc', 'ac', 'upcoming', 'dc'])[c_custkey % 4 + 1] AS kind, c_custkey % 5 AS rating, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey % 9 END AS plugs FROM customer)"""
@@ -104,14 +108,18 @@ def newest_resource(spark, d):
 
 
 # --- QLD -----------------------------------------------------------------------
-def _qld(spark, d):
+def _qld_file(spark, d):
     s, k = table(spark, d, "supplier"), F.col("s_suppkey")
     cells = (
         F.concat(F.lit("Town\nHall "), k.cast("string")), F.when(k % 7 != 3, F.format_string("%.2f", -27.0 - (k % 90) / 100)).otherwise(""), F.when(k % 7 != 3, F.lit("153.00")).otherwise(""), F.concat(k.cast("string"), F.lit(" A St, Brisbane")), F.lit("x, y"),
         F.when(k % 4 != 0, (k % 4).cast("string")).otherwise(" "), F.when(k % 2 == 0, "City  Council").otherwise("chargefox"), F.when(k % 3 == 0, "Active").when(k % 3 == 1, "Coming soon").otherwise(""), F.lit("next"),
     )
     lines = s.select("s_suppkey", F.concat_ws(",", *[tabular.csv_cell(x) for x in cells]).alias("value"))
-    return _id("qld").read(spark, _files(lines, "s_suppkey", "Location Name,Latitude,Longitude,Address,Description,Charging plugs available,Host,Status,Nearest QESH charging station\n", "\n"), CTX)
+    return _files(lines, "s_suppkey", "Location Name,Latitude,Longitude,Address,Description,Charging plugs available,Host,Status,Nearest QESH charging station\n", "\n")
+
+
+def _qld(spark, d):
+    return _id("qld").read(spark, _qld_file(spark, d), CTX)
 
 
 @query("source_qld", """SELECT 'qesh:town-hall-' || s_suppkey AS id, 'Town Hall ' || s_suppkey AS name, round(-27.0 - (s_suppkey % 90) / 100.0, 2) AS lat, CASE s_suppkey % 2 WHEN 0 THEN 'City Council' ELSE 'Chargefox' END AS operator, 'QLD' AS state, 'Brisbane' AS suburb,
@@ -338,3 +346,30 @@ def reconciled_totals(spark, d):
     one = F.lit(1).cast("long")
     ok, other = quality.totals_match(o, {"n": one}, said), quality.totals_match(o, {"n": one}, {"n": said["n"] + 1})
     return spark.createDataFrame([(True, ok is None), (False, other is not None)], "odd boolean, told boolean")
+
+
+# --- the whole run ----------------------------------------------------------------
+@query("ingest_report", f"""WITH {NSW_SQL},
+r AS (SELECT 'nsw' AS source_id, count(*) FILTER (WHERE k % 13 <> 5) AS record_count, count(*) FILTER (WHERE k % 13 <> 5 AND kind = 'upcoming') AS planned_count, count(*) FILTER (WHERE k % 13 = 5) AS structural_count,
+    count(*) FILTER (WHERE k % 13 = 5) + count(*) FILTER (WHERE k % 13 <> 5 AND rating = 3) + count(*) FILTER (WHERE k % 13 <> 5 AND kind = 'upcoming') AS issue_count, NULL AS error FROM n
+  UNION ALL SELECT 'qld', count(*) FILTER (WHERE s_suppkey % 7 <> 3), count(*) FILTER (WHERE s_suppkey % 7 <> 3 AND s_suppkey % 3 = 1), count(*) FILTER (WHERE s_suppkey % 7 = 3), count(*) FILTER (WHERE s_suppkey % 7 = 3 OR s_suppkey % 4 = 0), NULL FROM supplier
+  UNION ALL SELECT 'vic', NULL, NULL, NULL, NULL, 'not a FeatureCollection with features')
+SELECT * FROM r""")
+def ingest_report(spark, d):
+    """Two sources and one that is refused: the run goes on and says why."""
+    from geoloom import ingest
+
+    run = ingest.ingest(spark, {"nsw": _nsw_file(spark, d), "qld": _qld_file(spark, d), "vic": _page(spark, "<html>Service unavailable</html>")}, CTX)
+    return run.source_stats.select("source_id", "record_count", "planned_count", "structural_count", "issue_count", "error")
+
+
+@query("dataset_round_trip", """SELECT round(-27.0 - (s_suppkey % 90) / 100.0, 2) AS lat, count(DISTINCT s_suppkey) AS records, bool_or(s_suppkey % 3 = 1) AS any_planned FROM supplier WHERE s_suppkey % 7 <> 3 GROUP BY 1""")
+def dataset_round_trip(spark, d):
+    """A run written and read again: one site a place, with the records that make it."""
+    from geoloom import ingest
+
+    path = shared_dir(spark)
+    ingest.save(ingest.ingest(spark, {"qld": _qld_file(spark, d)}, CTX), path)
+    s, r = ingest.load(spark, path), ingest.load(spark, path, "records")
+    planned = r.groupBy(F.round("lat", 2).alias("lat")).agg(F.bool_or(F.col("status") == "planned").alias("any_planned"))
+    return s.select(F.round("lat", 2).alias("lat"), F.size("sources").cast("long").alias("records")).join(planned, "lat")

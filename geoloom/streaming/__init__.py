@@ -9,7 +9,7 @@ all that can differ.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -63,7 +63,9 @@ def refresh(spark: SparkSession, store: str, version: int, cfg: MatchConfig = Ma
     old, new = f"{store}/state/{version - 1}", f"{store}/state/{version}"
     stored = spark.read.schema(struct_of(RECORD | {"batch": "bigint"})).parquet(f"{store}/records")
     last = stored.agg(F.max("batch")).first()[0]
-    records = usable(conform(stored.dropDuplicates(["rid"])))
+    # a record that came again is told by its last batch
+    newest = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("batch"), F.desc("fetched_at")))
+    records = usable(conform(stored.withColumn("_n", newest).where("_n = 1")))
     if version == 0:
         part, kept_members, kept_sites = records, None, None
     else:

@@ -207,10 +207,11 @@ def test_refresh_equals_resolving_all(spark, tmp_path):
         rows.append((k, rng.choice(["osm", "nsw", "vic"]), str(k), -33.8 + (place % 5) * 0.004 + rng.random() * 0.0012, 151.0 + (place // 5) * 0.004 + rng.random() * 0.0012, rng.choice(["Evie Networks", "Tesla", None]), f"2026-01-0{1 + k % 5}"))
     d = conform(spark.createDataFrame(rows, "rid long, source_id string, source_record_id string, lat double, lng double, operator string, fetched_at string"), RECORD)
     store = f"file://{tmp_path}/store"
-    for version, part in enumerate((d.where("rid < 70"), d.where("rid BETWEEN 70 AND 71"), d.where("rid > 71"))):
+    moved = d.where("rid IN (3, 40)").withColumns({"lat": F.lit(-33.7995), "lng": F.lit(151.0005)})
+    for version, part in enumerate((d.where("rid < 70"), d.where("rid BETWEEN 70 AND 71"), d.where("rid > 71"), moved)):
         part.write.parquet(f"{store}/records/batch={version}")
         streaming.touched_cells(part).write.parquet(f"{store}/touched/batch={version}")
         got = streaming.refresh(spark, store, version)
-        want, _ = resolve(d.where(f"rid < {(70, 72, 1000)[version]}"))
+        want, _ = resolve(d.where(f"rid < {(70, 72, 1000)[version]}") if version < 3 else d.where("rid NOT IN (3, 40)").unionByName(moved))
         key = lambda x: sorted((r.cluster_id, r.id, r.lat, r.lng, r.operator, r.source_count, r.confidence) for r in x.collect())
         assert key(got) == key(want) and want.count() > 10
