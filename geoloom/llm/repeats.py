@@ -50,6 +50,8 @@ HOT, SALT = 16, 64
 MANY = 4096
 #: Parts of the surroundings by which a hot seed's edges are dealt.
 PARTS = 8
+#: Bytes of text whose seeds make one shard (about 100 bytes a seed in memory, a seed in 69 bytes), and shards at most.
+SHARD_BYTES, MAX_SHARDS = 128 << 20, 100_000
 #: Rows of edge surroundings that are compared at once.
 CHUNK = 10_000
 COVER, EDGE, SOURCE = 0, 1, 2
@@ -323,7 +325,11 @@ def cover(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
     orig = F.col(doc_id).cast("long")
     texts = docs.select(F.coalesce(orig, F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), orig.alias("orig"))
     rows = seeds(texts.select("doc_id", "h", "text"), length)
-    verdicts = materialize(index_shards(rows.repartition(F.col("kh"), F.col("packed").bitwiseAND(127))))
+    keys = F.col("kh"), F.col("packed").bitwiseAND(127)
+    # a shard's arrays are held by its task, so there are as many as their size asks for, or else as adaptive execution makes
+    shards = -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
+    many = shards > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    verdicts = materialize(index_shards(rows.repartition(min(shards, MAX_SHARDS), *keys) if many else rows.repartition(*keys)))
     # both joins ask for the same exchange of the texts
     found = verdicts.where(F.col("kind") != COVER).groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "kind", "kh", "hot")).alias("edges"))
     joined = texts.join(found, ["doc_id", "h"], "left").select("doc_id", "h", "text", "edges")

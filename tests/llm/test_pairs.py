@@ -95,8 +95,9 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length, hot, many", [(200, 16, 4096), (200, 2, 2), (60, 16, 2), (40, 3, 4096)])
-def test_repeats(docs, monkeypatch, length, hot, many):
+@pytest.mark.parametrize("length, hot, many, shard", [(200, 16, 4096, 1 << 27), (200, 2, 2, 1 << 27), (60, 16, 2, 1 << 10), (40, 3, 4096, 1 << 27)])
+def test_repeats(docs, monkeypatch, length, hot, many, shard):
+    monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "MANY", many)
     monkeypatch.setattr(repeats, "CHUNK", 7)
