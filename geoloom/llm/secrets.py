@@ -1,18 +1,20 @@
 """Secret scan by a trigram inverted index (DataFrame functions only).
 
-Each rule's regex yields a Boolean trigram query.  One pass over the texts
-writes postings (trigram, document) for the trigrams that any rule asks for;
-the postings are intersected per rule by counting, and only the candidates are
-verified with the regex.  Rules without a mandatory trigram scan every text.
-
-Defined results: a null text counts as empty and has no spans; rows with equal
-ids share postings, which can only add candidates, and each row is verified on
-its own text; null ids are matched null-safely; extra columns are ignored.
+Each rule's regex yields a Boolean trigram query.  One pass over the texts makes
+the postings of the trigrams that any rule asks for, as bitmaps: one bit a
+trigram, kept beside the row, so that intersecting postings is an AND of words
+and neither texts nor postings are shuffled.  Only the candidates of a rule are
+verified with its regex.  Rules without a mandatory trigram scan every text.
+
+Defined results: a null text counts as empty and has no spans; each row, repeated
+ones and ones without an id too, is scanned on its own; extra columns are
+ignored but for those to be kept.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,44 +100,52 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def postings(docs: DataFrame, terms: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term): which of the queries' trigrams each case-folded text holds."""
-    low = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(i)) for i, t in enumerate(terms)]))
-    return low.where(F.col("low").isNotNull()).select("doc_id", held.alias("h")).select("doc_id", F.explode("h").alias("term"))
+#: Bits of one word of postings.
+WORD = 62
 
 
-def candidates(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, mask): bit r is set where rule r's trigram query holds.
+def queries(rules=RULES) -> tuple[list[str], dict[int, list[frozenset[str]]]]:
+    """(the trigrams that any rule asks for, Boolean queries by rule)."""
+    found = {r: q for r, rule in enumerate(rules) if (q := trigrams.query(rule.regex)) is not None}
+    return sorted({t for q in found.values() for s in q for t in s}), found
+
+
+def postings(low: Column, terms: list[str]) -> Column:
+    """array<long>: bit i of the words tells whether the case-folded text holds trigram i."""
+    bit = lambda t, k: F.when(F.contains(low, F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
+    words = [terms[x : x + WORD] for x in range(0, len(terms), WORD)]
+    return F.array(*[reduce(lambda a, b: a.bitwiseOR(b), [bit(t, k) for k, t in enumerate(w)]) for w in words])
 
-    The table of query terms is fixed by the rules (well under a thousand
-    rows), so broadcasting it is bounded whatever the documents are.
-    """
-    queries = {r: q for r, rule in enumerate(rules) if (q := trigrams.query(rule.regex)) is not None}
-    terms = sorted({t for q in queries.values() for s in q for t in s})
-    rows = [(terms.index(t), r, a, len(s)) for r, q in queries.items() for a, s in enumerate(q) for t in sorted(s)]
-    wanted = docs.sparkSession.createDataFrame(rows, "term int, rule int, alt int, need int")
-    hit = postings(docs, terms, doc_id, text).join(F.broadcast(wanted), "term")
-    hit = hit.groupBy("doc_id", "rule", "alt", "need").agg(F.count("*").alias("n")).where("n >= need")
-    return hit.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("mask"))
+
+def candidate(held: Column, query: list[frozenset[str]], terms: list[str]) -> Column:
+    """Whether the postings of all trigrams of some alternative meet in the row."""
+    alternatives = F.lit(False)
+    for wanted in query:
+        masks = [0] * (-(-len(terms) // WORD))
+        for t in wanted:
+            w, k = divmod(terms.index(t), WORD)
+            masks[w] |= 1 << k
+        both = [held[w].bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long") for w, m in enumerate(masks) if m]
+        alternatives = alternatives | reduce(lambda a, b: a & b, both)
+    return alternatives
 
 
 def scan(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, spans array<struct<s, k, e>> per row, sorted by start, then rule; and the columns ``keep``, but for ones named like these."""
     keep = tuple(k for k in keep if k not in ("doc_id", "text", "spans"))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
-    c = candidates(docs, rules, doc_id, text).select(F.col("doc_id").alias("_candidate_id"), F.col("mask").alias("_candidate_rules"))
-    j = d.join(c, F.col("doc_id").eqNullSafe(F.col("_candidate_id")), "left").drop("_candidate_id")
+    terms, asked = queries(rules)
+    d = docs.select(F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    d = d.withColumn("low", F.lower("text"))
+    d = d.select("kept", "doc_id", "text", postings(F.col("low"), terms).alias("held"))
     found = []
     for r, rule in enumerate(rules):
-        if trigrams.query(rule.regex) is None:
+        if r in asked:
+            gate = candidate(F.col("held"), asked[r], terms) & F.col("text").rlike(rule.regex)
+        else:
             # a plain run of min_chars decides first whether spans are worked out
             gate = F.col("text").rlike(rule.regex[:-1] + f"{{{rule.min_chars},}}" if rule.regex.endswith("+") else rule.regex)
-        else:
-            gate = F.coalesce(F.col("_candidate_rules").bitwiseAND(1 << r), F.lit(0)) != 0
-            gate = gate & F.col("text").rlike(rule.regex)
         found.append(F.when(gate, _spans(F.col("text"), rule, r)).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>")))
-    return j.select("doc_id", "text", *keep, F.sort_array(F.concat(*found)).alias("spans"))
+    return d.select("doc_id", "text", *[F.col("kept")[k].alias(k) for k in keep], F.sort_array(F.concat(*found)).alias("spans"))
 
 
 def digest(scanned: DataFrame, rules=RULES, n_base: int = len(BASE_RULES)) -> DataFrame:
