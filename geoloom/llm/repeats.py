@@ -50,8 +50,8 @@ HOT, SALT = 16, 64
 MANY = 4096
 #: Parts of the surroundings by which a hot seed's edges are dealt.
 PARTS = 8
-#: Bytes of text whose seeds make one shard (about 100 bytes a seed in memory, a seed in 69 bytes), and shards at most.
-SHARD_BYTES, MAX_SHARDS = 128 << 20, 100_000
+#: Stored bytes of texts whose seeds make one shard (a seed in 69 bytes of text, about 100 bytes a seed in memory), and shards at most.
+SHARD_BYTES, MAX_SHARDS = 64 << 20, 100_000
 #: Rows of edge surroundings that are compared at once.
 CHUNK = 10_000
 COVER, EDGE, SOURCE = 0, 1, 2
@@ -320,14 +320,20 @@ def windows(cuts: DataFrame, length: int) -> DataFrame:
     return cuts.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "doc_id long, h long, s int, e int")
 
 
+def _stored_bytes(d: DataFrame) -> int:
+    """The optimizer's estimate of a table's size, without a job; 0 where it knows none (it then says exabytes)."""
+    size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0
+
+
 def cover(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """orig, text, runs array<struct<s, e>> for every row: the covered byte runs (not merged)."""
     orig = F.col(doc_id).cast("long")
     texts = docs.select(F.coalesce(orig, F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), orig.alias("orig"))
     rows = seeds(texts.select("doc_id", "h", "text"), length)
     keys = F.col("kh"), F.col("packed").bitwiseAND(127)
-    # a shard's arrays are held by its task, so there are as many as their size asks for, or else as adaptive execution makes
-    shards = -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
+    # a shard's arrays are held by its task, so there are as many as the table's size asks for, or else as adaptive execution makes
+    shards = -(-_stored_bytes(texts) // SHARD_BYTES)
     many = shards > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     verdicts = materialize(index_shards(rows.repartition(min(shards, MAX_SHARDS), *keys) if many else rows.repartition(*keys)))
     # both joins ask for the same exchange of the texts
