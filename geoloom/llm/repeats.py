@@ -53,7 +53,7 @@ PARTS = 8
 #: Stored bytes of texts whose seeds make one shard (a seed in 69 bytes of text, about 100 bytes a seed in memory), and shards at most.
 SHARD_BYTES, MAX_SHARDS = 64 << 20, 100_000
 #: Rows of edge surroundings that are compared at once.
-CHUNK = 10_000
+CHUNK = 4_000
 COVER, EDGE, SOURCE = 0, 1, 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -350,25 +350,26 @@ def remove(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
     def run(batches):
         for b in batches:
             raw, off = arrowbytes.flat(b.column(1))
-            n_removed, n_spans, kept = [], [], []
             runs = b.column(2)
-            for i in range(b.num_rows):
-                t = raw[off[i] : off[i + 1]]
-                r = runs[i].values if runs[i].is_valid else None
-                if r is None or not len(r):
-                    n_removed.append(0)
-                    n_spans.append(0)
-                    kept.append(t.tobytes())
-                    continue
-                s, e, _ = _merge(np.zeros(len(r), np.int64), r.field(0).to_numpy().astype(np.int64), r.field(1).to_numpy().astype(np.int64))
-                n_removed.append(int((e - s).sum()))
-                n_spans.append(len(s))
-                cuts = np.concatenate([[0], np.stack([s, e], 1).reshape(-1), [len(t)]]).tolist()
-                kept.append(b"".join(t[cuts[k] : cuts[k + 1]].tobytes() for k in range(0, len(cuts), 2)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(off)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+            for x, y in arrowbytes.slices(off):  # rows out are small batches too, whatever size they came in
+                n_removed, n_spans, kept = [], [], []
+                for i in range(x, y):
+                    t = raw[off[i] : off[i + 1]]
+                    r = runs[i].values if runs[i].is_valid else None
+                    if r is None or not len(r):
+                        n_removed.append(0)
+                        n_spans.append(0)
+                        kept.append(t.tobytes())
+                        continue
+                    s, e, _ = _merge(np.zeros(len(r), np.int64), r.field(0).to_numpy().astype(np.int64), r.field(1).to_numpy().astype(np.int64))
+                    n_removed.append(int((e - s).sum()))
+                    n_spans.append(len(s))
+                    cuts = np.concatenate([[0], np.stack([s, e], 1).reshape(-1), [len(t)]]).tolist()
+                    kept.append(b"".join(t[cuts[k] : cuts[k + 1]].tobytes() for k in range(0, len(cuts), 2)))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(x, y - x), pa.array(np.diff(off[x : y + 1])), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                )
 
     return cover(docs, length, doc_id, text).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
