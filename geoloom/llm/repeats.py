@@ -232,11 +232,17 @@ def edges(joined: DataFrame, length: int) -> DataFrame:
     """
     reach = length - SEED
 
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+
+    def told(out):
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["grp", "doc_id", "h", "own", "a", "at", "cut"])
+
     def run(batches):
+        out = []
         for b in batches:
-            out = []
             raw, off = arrowbytes.flat(b.column(2))
-            for r, found in enumerate(b.column(3).to_pylist()):
+            for r in range(b.num_rows):
+                found = b.column(3)[r].as_py()
                 if not found:
                     continue
                 base, n = int(off[r]), int(off[r + 1] - off[r])
@@ -256,9 +262,12 @@ def edges(joined: DataFrame, length: int) -> DataFrame:
                         if x <= y:
                             key = prefix.ranges(np.array([last]), np.array([first + length])) + np.uint64(j + 1)
                             out.append((int(mix(key).view(np.int64)[0]), doc, h, own, x, pos - x, text[x : y + length].tobytes()))
+                if len(out) >= CHUNK:
+                    yield told(out)
+                    out = []
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["grp", "doc_id", "h", "own", "a", "at", "cut"])
+                yield told(out)
+                out = []
 
     return joined.mapInArrow(run, "grp long, doc_id long, h long, own boolean, a int, at int, cut binary")
 
