@@ -45,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm import arrowbytes
+from geoloom.llm.common import small_batches
 from geoloom.llm.hashing import Table
 
 SIMILARITY, RECALL = 0.8, 0.99
@@ -457,6 +458,7 @@ def _search(index: Index, text: np.ndarray, off: np.ndarray) -> dict[tuple[int,
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, distance: items found in documents, each pair once with the smallest distance."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL").distinct()
     n_blocks = max(1, -(-(items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0) // BLOCK_BYTES))

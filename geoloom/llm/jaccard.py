@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoloom.llm import arrowbytes, shingles
-from geoloom.llm.common import materialize
+from geoloom.llm.common import materialize, small_batches
 from geoloom.llm.hashing import mix
 from geoloom.operators.components import connected_components
 
@@ -369,6 +369,7 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
     Two documents link when 100 * |intersection| >= percent * |union| of their
     sets of ``size``-word shingles.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sig = materialize(signatures(texts, size, percent, hot_tokens(texts.select("text"), size)))
     classes = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("cid"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoloom.llm import arrowbytes
-from geoloom.llm.common import crc32_mod5
+from geoloom.llm.common import crc32_mod5, small_batches
 
 WINDOW = 256
 DIM, FILTERS, WIDTHS = 8, 8, (2, 3, 4)
@@ -205,6 +205,7 @@ def _predict_batch(model: Model | None, col: pa.Array) -> tuple[list[str], np.nd
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with columns ``pred`` and ``score`` added; Arrow batches, no shuffle."""
+    small_batches(docs.sparkSession)
     d = docs.drop(pred, score)
     schema = T.StructType([*d.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm import anchors, arrowbytes
 from geoloom.llm.anchors import SEED
-from geoloom.llm.common import materialize
+from geoloom.llm.common import materialize, small_batches
 from geoloom.llm.hashing import Prefix, mix
 
 LENGTH = 200
@@ -337,6 +337,7 @@ def _stored_bytes(d: DataFrame) -> int:
 
 def cover(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """orig, text, runs array<struct<s, e>> for every row: the covered byte runs (not merged)."""
+    small_batches(docs.sparkSession)
     orig = F.col(doc_id).cast("long")
     texts = docs.select(F.coalesce(orig, F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), orig.alias("orig"))
     rows = seeds(texts.select("doc_id", "h", "text"), length)

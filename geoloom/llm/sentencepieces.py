@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoloom.llm import arrowbytes, bpe
+from geoloom.llm.common import small_batches
 from geoloom.llm.hashing import Prefix
 
 MARK = "▁"
@@ -149,6 +150,7 @@ def encode_slice(vocab: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with array<int> ``ids`` and the library's decoding of them; Arrow batches, no shuffle."""
+    small_batches(docs.sparkSession)
     d = docs.drop(ids, decoded)
     schema = T.StructType([*d.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 

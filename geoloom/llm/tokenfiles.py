@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.llm import arrowbytes
-from geoloom.llm.common import materialize, shared_dir
+from geoloom.llm.common import materialize, shared_dir, small_batches
 from geoloom.llm.hashing import Prefix, Table
 from geoloom.llm.wavelet import WaveletMatrix, build
 
@@ -167,6 +167,7 @@ def _store(folder: str):
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES, file_tokens: int = FILE_TOKENS, end_id: int = END_ID) -> DataFrame:
     """Write the files; returns one row a file: range, part, path, n_docs, n_tokens."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(min(-(-total // range_bytes), RANGES), -(-total // LARGE_RANGE), 1)
