@@ -26,16 +26,17 @@ def haversine_m(lat1, lng1, lat2, lng2) -> Column:
 
 
 def rough_m(lat1, lng1, lat2, lng2) -> Column:
-    """Equirectangular metres, for short distances."""
+    """Equirectangular metres, for short distances; the shorter way round, also across the date line."""
     lat1, lng1, lat2, lng2 = map(_c, (lat1, lng1, lat2, lng2))
-    x = (lng2 - lng1) * F.cos(F.radians((lat1 + lat2) / 2)) * METRES_PER_DEGREE
+    east = lng2 - lng1
+    x = (east - 360 * F.rint(east / 360)) * F.cos(F.radians((lat1 + lat2) / 2)) * METRES_PER_DEGREE
     y = (lat2 - lat1) * METRES_PER_DEGREE
     return F.sqrt(x * x + y * y)
 
 
-def is_valid(lat: Column, lng: Column) -> Column:
-    """Both finite, in range and not the null island; never null."""
-    ok = lat.between(-90, 90) & lng.between(-180, 180) & ~F.isnan(lat) & ~F.isnan(lng) & ~((lat == 0) & (lng == 0))
+def is_valid(lat: Column, lng: Column, any_turn: bool = False) -> Column:
+    """Both finite, in range and not the null island; never null. With ``any_turn`` longitudes may run on past 180 degrees."""
+    ok = lat.between(-90, 90) & (F.abs(lng) < float("inf") if any_turn else lng.between(-180, 180)) & ~F.isnan(lat) & ~F.isnan(lng) & ~((lat == 0) & (lng == 0))
     return F.coalesce(ok, F.lit(False))
 
 
