@@ -82,7 +82,9 @@ def box_around(lat: float, lng: float, radius_m: float) -> tuple[float, float, f
 
 
 def in_box(lat: Column, lng: Column, box: tuple[float, float, float, float]) -> Column:
-    return lat.between(box[0], box[1]) & lng.between(box[2], box[3])
+    """Whether a point lies in (min lat, max lat, min lng, max lng); a box all the way round holds every longitude, however it is counted."""
+    round_trip = box[3] - box[2] >= 360
+    return lat.between(box[0], box[1]) & (F.coalesce(F.abs(lng) < float("inf"), F.lit(False)) if round_trip else lng.between(box[2], box[3]))
 
 
 def metres_per_pixel(lat: float, zoom: int) -> float:

@@ -20,7 +20,7 @@ def far(tmp_path_factory, sf):
     return str(d), con
 
 
-@pytest.mark.parametrize("name", ["rough_metres"])
+@pytest.mark.parametrize("name", ["rough_metres", "sort_name"])
 def test_far_keys(name, spark, far, same):
     same(QUERIES[name](spark, far[0]), far[1].execute(ORACLES[name]))
 
@@ -29,3 +29,10 @@ def test_across_the_date_line(spark):
     d = spark.createDataFrame([(-17.0, 179.99, -17.0, -179.99)], "a double, b double, c double, d double")
     exact, rough = d.select(geo.haversine_m(*map(F.col, "abcd")), geo.rough_m(*map(F.col, "abcd"))).first()
     assert rough == pytest.approx(exact, rel=2e-3)
+
+
+def test_box_all_the_way_round(spark):
+    d = spark.createDataFrame([(-37.8, 145.0), (-37.8, 505.0), (-37.8, None), (-37.8, float("nan"))], "lat double, lng double")
+    inside = lambda *box: [r[0] for r in d.select(geo.in_box(F.col("lat"), F.col("lng"), box)).collect()]
+    assert inside(-90, 0, -180, 180) == [True, True, False, False]
+    assert inside(-90, 0, 140, 150)[:2] == [True, False]
