@@ -104,7 +104,7 @@ def newest_resource(spark, d):
     p, k = table(spark, d, "pages"), F.col("page_id")
     at = F.lpad(((k * 37) % 1009).cast("string"), 6, "0")
     r = F.struct(F.when(k % 3 == 0, "PDF").otherwise("csv").alias("format"), F.when(k % 5 == 0, "Old, not updated").otherwise("data").alias("name"), F.concat(F.lit("page-"), k.cast("string")).alias("url"), F.when(k % 2 == 0, at).alias("last_modified"), F.when(k % 2 == 1, at).otherwise("").alias("created"))
-    return Nsw.newest_resource(p.select(F.struct(F.array(r).alias("resources")).alias("result")))
+    return Nsw.newest_resource(p.select("page_id", F.struct(F.array(r).alias("resources")).alias("result")), k)
 
 
 # --- QLD -----------------------------------------------------------------------

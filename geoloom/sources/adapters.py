@@ -119,10 +119,16 @@ class Nsw(Source):
         )
 
     @staticmethod
-    def newest_resource(package: DataFrame) -> DataFrame:
-        """url of the newest CSV resource of a catalogue entry whose name does not say that it is kept no longer."""
-        r = package.select(F.explode("result.resources").alias("r")).where((F.upper("r.format") == "CSV") & ~F.coalesce(F.col("r.name").rlike("(?i)not updated"), F.lit(False)))
-        return r.agg(F.max_by("r.url", F.coalesce("r.last_modified", "r.created")).alias("url"))
+    def newest_resource(package: DataFrame, number: Column | None = None) -> DataFrame:
+        """url of the newest CSV resource of a catalogue entry whose name does not say that it is kept no longer.
+
+        Of those that changed at the same time the first is taken: by the rows' ``number`` where an entry is told in several rows, then by
+        the place in its list.
+        """
+        number = F.lit(0) if number is None else number
+        r = package.select(number.alias("number"), F.posexplode("result.resources").alias("place", "r")).where((F.upper("r.format") == "CSV") & ~F.coalesce(F.col("r.name").rlike("(?i)not updated"), F.lit(False)))
+        at = F.coalesce(F.nullif("r.last_modified", F.lit("")), "r.created", F.lit(""))
+        return r.agg(F.max_by("r.url", F.struct(at, -F.col("number"), -F.col("place"))).alias("url"))
 
 
 def _window(*cols: Column):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geo
 from geoloom.plans.queries import ORACLES, QUERIES
+from geoloom.sources.adapters import Nsw
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +37,12 @@ def test_box_all_the_way_round(spark):
     inside = lambda *box: [r[0] for r in d.select(geo.in_box(F.col("lat"), F.col("lng"), box)).collect()]
     assert inside(-90, 0, -180, 180) == [True, True, False, False]
     assert inside(-90, 0, 140, 150)[:2] == [True, False]
+
+
+def test_newest_resource_first_of_equals(spark):
+    shape = "number int, result struct<resources:array<struct<format:string,name:string,url:string,last_modified:string,created:string>>>"
+    csv = lambda url, at, made: ("CSV", "data", url, at, made)
+    rows = [(2, ([csv("late", "2026-02-01", None)],)), (1, ([csv("old", "2026-01-01", "2026-03-01"), csv("first", "", "2026-02-01"), csv("second", "2026-02-01", None)],)), (3, ([csv("none", None, None)],))]
+    p = spark.createDataFrame(rows, shape)
+    assert Nsw.newest_resource(p, F.col("number")).first().url == "first"
+    assert Nsw.newest_resource(p.where("number = 1")).first().url == "first"
