@@ -42,11 +42,13 @@ class MatchConfig:
     #: Search columns by a step fixed for each grid row, so that neighbours to
     #: the north and south are never missed; off by default for parity.
     strict_blocking: bool = False
+    #: Take longitudes that run on past 180 degrees; else they are rejected, as in the reference.
+    any_turn: bool = False
     trust: dict = field(default_factory=lambda: dict(FIELD_TRUST), compare=False)
 
 
-def usable(records: DataFrame) -> DataFrame:
-    return records.where(geo.is_valid(F.col("lat"), F.col("lng")))
+def usable(records: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:  # noqa: B008
+    return records.where(geo.is_valid(F.col("lat"), F.col("lng"), cfg.any_turn))
 
 
 def _cells(d: DataFrame, cfg: MatchConfig) -> DataFrame:

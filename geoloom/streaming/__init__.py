@@ -28,7 +28,7 @@ def touched_cells(batch: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFra
     """(gy, gx): grid cells that a batch's records can change, with their neighbours."""
     row, col = geo.cell(F.col("lat"), F.col("lng"), cfg.cell_m)
     near = F.sequence(F.lit(-1), F.lit(1))
-    d = batch.where(geo.is_valid(F.col("lat"), F.col("lng"))).select(F.explode(F.transform(near, lambda x: row + x)).alias("gy"), col.alias("x"))
+    d = batch.where(geo.is_valid(F.col("lat"), F.col("lng"), cfg.any_turn)).select(F.explode(F.transform(near, lambda x: row + x)).alias("gy"), col.alias("x"))
     return d.select("gy", F.explode(F.transform(near, lambda x: F.col("x") + x)).alias("gx")).distinct()
 
 
@@ -65,7 +65,7 @@ def refresh(spark: SparkSession, store: str, version: int, cfg: MatchConfig = Ma
     last = stored.agg(F.max("batch")).first()[0]
     # a record that came again is told by its last batch
     newest = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("batch"), F.desc("fetched_at")))
-    records = usable(conform(stored.withColumn("_n", newest).where("_n = 1")))
+    records = usable(conform(stored.withColumn("_n", newest).where("_n = 1")), cfg)
     if version == 0:
         part, kept_members, kept_sites = records, None, None
     else:

@@ -21,7 +21,7 @@ def far(tmp_path_factory, sf):
     return str(d), con
 
 
-@pytest.mark.parametrize("name", ["quality_gates", "rough_metres", "sort_name"])
+@pytest.mark.parametrize("name", ["quality_gates", "rough_metres", "sort_name", "usable_positions"])
 def test_far_keys(name, spark, far, same):
     same(QUERIES[name](spark, far[0]), far[1].execute(ORACLES[name]))
 
