@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,25 @@ from geoloom.storage import materialize
 
 @dataclass(frozen=True)
 class Run:
-    sites: DataFrame
+    """Records, issues and counts of a run; sites are resolved once, when they or their counts are first asked for."""
+
     records: DataFrame
     issues: DataFrame
     source_stats: DataFrame
-    resolution: DataFrame
+    cfg: MatchConfig
+    exclude_planned: bool
+
+    @cached_property
+    def _resolved(self) -> tuple[DataFrame, DataFrame]:
+        return resolve(conform(self.records), self.cfg)
+
+    @property
+    def sites(self) -> DataFrame:
+        return without_planned(self._resolved[0]) if self.exclude_planned else self._resolved[0]
+
+    @property
+    def resolution(self) -> DataFrame:
+        return self._resolved[1]
 
 
 def without_planned(sites: DataFrame) -> DataFrame:
@@ -29,7 +44,7 @@ def without_planned(sites: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, paths: dict[str, str], ctx: Context, cfg: MatchConfig = MatchConfig(), exclude_planned: bool = False) -> Run:  # noqa: B008
-    """Read every source in ``paths`` (id -> file), resolve, and count.
+    """Read every source in ``paths`` (id -> file) and count; the run resolves when asked for its sites.
 
     A source that is refused or fails is reported with its error; the others go
     on.
@@ -48,12 +63,9 @@ def ingest(spark: SparkSession, paths: dict[str, str], ctx: Context, cfg: MatchC
             errors.append((s.id, str(e).splitlines()[0][:300]))
             continue
         records, issues = records.unionByName(r), issues.unionByName(i)
-    sites, resolution = resolve(conform(records), cfg)
-    if exclude_planned:
-        sites = without_planned(sites)
     bad = spark.createDataFrame(errors, "source_id string, error string")
     stats = rollups.source_stats(records, issues).join(bad, "source_id", "full")
-    return Run(sites, records, issues, stats, resolution)
+    return Run(records, issues, stats, cfg, exclude_planned)
 
 
 def save(run: Run, path: str) -> None:

@@ -46,5 +46,5 @@ def expect_columns(d: DataFrame, *columns: str) -> str | None:
 
 
 def expect_rows(d: DataFrame, least: int = 1) -> str | None:
-    """Reads at most ``least`` rows."""
-    return None if len(d.take(least)) >= least else f"fewer than {least} rows"
+    """Reads at most ``least`` rows, and no column: what only works out values, windows too, is left out of the plan."""
+    return None if len(d.select(F.lit(1)).take(least)) >= least else f"fewer than {least} rows"

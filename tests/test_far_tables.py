@@ -46,3 +46,17 @@ def test_newest_resource_first_of_equals(spark):
     p = spark.createDataFrame(rows, shape)
     assert Nsw.newest_resource(p, F.col("number")).first().url == "first"
     assert Nsw.newest_resource(p.where("number = 1")).first().url == "first"
+
+
+def test_report_without_resolving(spark, tmp_path, monkeypatch):
+    """The counts of a run need no pair of records: 300 of one place would give 44,850."""
+    from geoloom import ingest
+    from geoloom.sources.adapters import Context
+
+    rows = "\n".join(f"Place {k},-27.5,153.0,1 A St,x,1,Host,Active,y" for k in range(300))
+    (tmp_path / "q.csv").write_text(f"Location Name,Latitude,Longitude,Address,Description,Charging plugs available,Host,Status,Nearest QESH charging station\n{rows}\n")
+    real, calls = ingest.resolve, []
+    monkeypatch.setattr(ingest, "resolve", lambda *a: calls.append(1) or real(*a))
+    run = ingest.ingest(spark, {"qld": f"file://{tmp_path}/q.csv"}, Context(fetched_at="2026-09-05 00:00:00", as_of="2026-09-05"))
+    assert run.source_stats.first().record_count == 300 and not calls
+    assert run.sites.count() == 1 and run.resolution.first().pairs_considered == 44_850 and len(calls) == 1
