@@ -289,12 +289,12 @@ def resolve(records: DataFrame, cfg: MatchConfig = MatchConfig()) -> tuple[DataF
     """(sites, one row of counts)."""
     from geoloom.storage import materialize
 
-    good = usable(conform(records))
+    good = usable(conform(records), cfg)
     scored = materialize(score_pairs(candidate_pairs(good, cfg), cfg))
     sites = materialize(merge(good, clusters(good, links(scored, cfg)), cfg))
     counts = {}
     for part in (
-        records.agg(F.count("*").alias("input_records"), F.count_if(~geo.is_valid(F.col("lat"), F.col("lng"))).alias("rejected")),
+        records.agg(F.count("*").alias("input_records"), F.count_if(~geo.is_valid(F.col("lat"), F.col("lng"), cfg.any_turn)).alias("rejected")),
         sites.agg(
             F.count("*").alias("sites"), F.count_if(F.col("source_count") > 1).alias("multi_source_sites"), F.count_if(F.size(F.map_keys("conflicts")) > 0).alias("sites_with_conflicts"),
             F.count_if(F.col("id") != slug_id(F.col("lat"), F.col("lng"), F.col("operator"))).alias("collisions_resolved"),
